@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.compression import compression_filter
 from tessera.llm.digest_index import DigestIndex, ingest
+from tessera.llm.licenses import scan_licenses
 from tessera.llm.mixing import mix
 from tessera.llm.packing import pack_documents
+from tessera.llm.secrets import scan_secrets
 from tessera.llm.storage import shared_path
+from tessera.llm.toxicity import toxic_documents
 
 #: Target weights of the sources; a source not named weighs 1.
 WEIGHTS = {"src0": 2.0, "src1": 8.0, "src2": 6.0, "src3": 4.0, "src4": 3.0}
@@ -76,11 +79,27 @@ WITH sizes AS (
 SELECT doc_id, source, unnest(range(1, c + 1))::INTEGER AS repetition FROM copies
 """
 
+
+def op7_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(documents(spark, sf_dir))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_compression_bands": op3_compression_bands,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_secret_links": op7_secret_links,
     "op8_source_mixing": op8_source_mixing,
+    "op9_toxicity": op9_toxicity,
+    "op10_license_scan": op10_license_scan,
 }
 ORACLES: dict[str, str] = {
     "op5_exact_dedup": OP5_SQL,
