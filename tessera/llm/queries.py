@@ -12,6 +12,7 @@ from tessera.llm.licenses import scan_licenses
 from tessera.llm.mixing import mix
 from tessera.llm.packing import pack_documents
 from tessera.llm.secrets import scan_secrets
+from tessera.llm.simhash import near_groups
 from tessera.llm.storage import shared_path
 from tessera.llm.toxicity import toxic_documents
 
@@ -27,6 +28,10 @@ def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_filter(documents(spark, sf_dir))
 
 
+def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(documents(spark, sf_dir))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = DigestIndex(spark, shared_path(spark, "digest-index"))
     return ingest(documents(spark, sf_dir), index)
@@ -94,6 +99,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_compression_bands": op3_compression_bands,
+    "op4_simhash_groups": op4_simhash_groups,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_secret_links": op7_secret_links,
