@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.compression import compression_filter
 from tessera.llm.digest_index import DigestIndex, ingest
 from tessera.llm.licenses import scan_licenses
+from tessera.llm.lm_score import load_vocabulary, score_documents
 from tessera.llm.mixing import mix
 from tessera.llm.packing import pack_documents
 from tessera.llm.secrets import scan_secrets
@@ -24,6 +26,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: A sentencepiece model; the default is the public one that the installed package public_tokenizers holds.
+VOCABULARY = os.environ.get("TESSERA_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op1_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(documents(spark, sf_dir), load_vocabulary(VOCABULARY))
+
+
 def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_filter(documents(spark, sf_dir))
 
@@ -98,6 +108,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lattice_likelihood": op1_lattice_likelihood,
     "op3_compression_bands": op3_compression_bands,
     "op4_simhash_groups": op4_simhash_groups,
     "op5_exact_dedup": op5_exact_dedup,
