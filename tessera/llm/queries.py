@@ -16,6 +16,7 @@ from tessera.llm.packing import pack_documents
 from tessera.llm.secrets import scan_secrets
 from tessera.llm.simhash import near_groups
 from tessera.llm.storage import shared_path
+from tessera.llm.suffix_dedup import repeated_passages
 from tessera.llm.toxicity import toxic_documents
 
 #: Target weights of the sources; a source not named weighs 1.
@@ -34,6 +35,10 @@ def op1_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(documents(spark, sf_dir), load_vocabulary(VOCABULARY))
 
 
+def op2_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(documents(spark, sf_dir))
+
+
 def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_filter(documents(spark, sf_dir))
 
@@ -109,6 +114,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice_likelihood": op1_lattice_likelihood,
+    "op2_suffix_repeats": op2_suffix_repeats,
     "op3_compression_bands": op3_compression_bands,
     "op4_simhash_groups": op4_simhash_groups,
     "op5_exact_dedup": op5_exact_dedup,
