@@ -1,57 +1,12 @@
-"""Where operators keep tables that must outlive a lost executor."""
+"""What the operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from tessera.runtime import fresh, materialize, shared_dir, shared_path, ship
 
-from tessera.runtime import ship
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which every executor can read.
-
-    Where the setting is absent a folder of this machine is used, and only in
-    local mode: on a cluster its absence is an error.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    context = spark.sparkContext
-    known = context.getCheckpointDir()
-    if known:
-        return known.rstrip("/")
-    if not context.master.startswith("local[") and context.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="tessera-")
-    context.setCheckpointDir(own)
-    return own
-
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and returns the table read back: the lineage ends there."""
-    spark = df.sparkSession
-    path = shared_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """The names, lengthened where df has such a column already (Spark compares without case)."""
-    taken = {c.lower() for c in df.columns}
-    out = []
-    for name in names:
-        while name.lower() in taken:
-            name = f"_{name}"
-        taken.add(name.lower())
-        out.append(name)
-    return out
+__all__ = ["fresh", "map_arrow", "materialize", "shared_dir", "shared_path"]
 
 
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
