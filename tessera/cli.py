@@ -49,7 +49,8 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def run(argv: list[str] | None = None, spark: SparkSession | None = None, out=sys.stdout) -> int:
+def run(argv: list[str] | None = None, spark: SparkSession | None = None, out=None) -> int:
+    out = out or sys.stdout
     a = parser().parse_args(argv)
     if a.command == "version":
         print(VERSION, file=out)

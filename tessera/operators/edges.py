@@ -77,7 +77,7 @@ def defines(symbols: DataFrame) -> DataFrame:
 
 def imports(symbols: DataFrame) -> DataFrame:
     """From the file to each string that one of its symbols imports."""
-    rows = symbols.select(F.concat(F.lit("file:"), "file_path").alias("src"), F.concat(F.lit("import:"), F.explode("imports")).alias("dst")).distinct()
+    rows = symbols.select("file_path", F.explode("imports").alias("imp")).select(F.concat(F.lit("file:"), "file_path").alias("src"), F.concat(F.lit("import:"), "imp").alias("dst")).distinct()
     return edge(rows, "imports", 0.9, "astkit", "structural")
 
 

@@ -62,6 +62,7 @@ IMPORTS = {
 }
 IMPORTS |= {"typescript": IMPORTS["javascript"], "tsx": IMPORTS["javascript"], "c": IMPORTS["cpp"]}
 _CALL = re.compile(r"(?<![\w$.])((?:[A-Za-z_$][\w$]*(?:\.|::|->|\?\.))*[A-Za-z_$][\w$]*)(\s*<[\w\s,.\[\]]+>)?\s*\(")
+_CONTROL = frozenset("if for while switch catch return else match loop throw".split())
 _KEYWORDS = frozenset("if for while switch catch return function new elseif sizeof typeof await defer go match loop else func fn def class lock using foreach and or not in is isset empty array list print echo throw".split())
 
 
@@ -146,7 +147,7 @@ def call_sites(body: str, first_line: int) -> list[dict]:
     out = []
     for m in _CALL.finditer(code):
         parts = re.split(r"\?\.|\.|::|->", m[1])
-        if parts[-1] in _KEYWORDS or re.search(r"\b(?:func|function|def|fn)\s+(?:\([^)]*\)\s*)?$", code[: m.start()][-60:]):
+        if (len(parts) == 1 and parts[0] in _KEYWORDS) or re.search(r"\b(?:func|function|def|fn)\s+(?:\([^)]*\)\s*)?$", code[: m.start()][-60:]):
             continue
         depth, args, begin, end = 1, [], m.end(), m.end()
         for end in range(m.end(), min(len(code), m.end() + 2000)):
@@ -206,7 +207,7 @@ def by_patterns(path: str, sha: str, language: str, text: str) -> list[dict]:
         else:
             continue
         name = m["n"]
-        if name in _KEYWORDS:
+        if name in _CONTROL:
             continue
         end = indent_end(lines, i) if language == "python" else brace_end(code, i)
         owners = [o for o in owners if o[0] >= i]
