@@ -46,6 +46,7 @@ def parser() -> argparse.ArgumentParser:
     p = sub.add_parser("certify")
     p.add_argument("diff", help="a file, or - for standard input")
     p.add_argument("--require-tests", action="store_true")
+    sub.add_parser("mcp", help="answer JSON-RPC on standard input")
     return top
 
 
@@ -89,6 +90,10 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None, out=No
             return 0 if got else 1
         case "unlock":
             say({"released": engine.unlock(a.intent)})
+        case "mcp":
+            from tessera.server import Server
+
+            Server(engine).serve()
         case "certify":
             report = engine.certify(sys.stdin.read() if a.diff == "-" else Path(a.diff).read_text(), a.require_tests)
             say(report)
