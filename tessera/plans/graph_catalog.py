@@ -193,8 +193,8 @@ def edge_dedup_first_wins(spark, sf_dir):
 
 
 _SYNC_SQL = """
-old AS (SELECT 'o' || o_orderkey AS src, 'c' || o_custkey AS dst, 'calls' AS type, 0.9::DOUBLE AS confidence FROM orders WHERE o_orderkey % 3 <> 0),
-new AS (SELECT 'o' || o_orderkey AS src, 'c' || o_custkey AS dst, 'calls' AS type, CASE WHEN o_orderkey % 7 = 0 THEN 0.95 ELSE 0.9 END::DOUBLE AS confidence FROM orders WHERE o_orderkey % 5 <> 0)"""
+old AS (SELECT 'o' || o_orderkey AS src, 'c' || o_custkey AS dst, 'calls' AS type, 0.9::DOUBLE AS confidence FROM orders WHERE o_orderpriority <> '5-LOW'),
+new AS (SELECT 'o' || o_orderkey AS src, 'c' || o_custkey AS dst, 'calls' AS type, CASE WHEN o_orderstatus = 'P' THEN 0.95 ELSE 0.9 END::DOUBLE AS confidence FROM orders WHERE o_orderpriority <> '1-URGENT')"""
 
 
 @query(f"""
@@ -206,7 +206,7 @@ WHERE o.src IS NULL OR n.src IS NULL OR o.confidence <> n.confidence""")
 def edge_diff_sync(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     row = lambda df, c: df.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("src"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("dst"), F.lit("calls").alias("type"), c.cast("double").alias("confidence"), F.lit("astkit").alias("source"), F.lit("").alias("reason"))
-    return merge.sync(row(o.filter("o_orderkey % 3 <> 0"), F.lit(0.9)), row(o.filter("o_orderkey % 5 <> 0"), F.when(F.col("o_orderkey") % 7 == 0, 0.95).otherwise(0.9)))
+    return merge.sync(row(o.filter("o_orderpriority <> '5-LOW'"), F.lit(0.9)), row(o.filter("o_orderpriority <> '1-URGENT'"), F.when(F.col("o_orderstatus") == "P", 0.95).otherwise(0.9)))
 
 
 @query("SELECT DISTINCT 'c' || c_custkey AS file_path FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
@@ -215,12 +215,12 @@ def stale_files(spark, sf_dir):
     return manifest.join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), "k", "left_anti").select(F.concat(F.lit("c"), F.col("k").cast("string")).alias("file_path")).distinct()
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'new' ELSE 'changed' END AS state FROM documents WHERE doc_id % 4 = 0 OR doc_id % 6 = 1")
+@query("SELECT doc_id, CASE WHEN lang = 'fr' THEN 'new' ELSE 'changed' END AS state FROM documents WHERE lang = 'fr' OR source = 'src1'")
 def delta_changed_files(spark, sf_dir):
     from tessera.sources.store import changed_files
 
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_path"), F.sha1(F.encode("text", "UTF-8")).alias("blob_sha"), "doc_id")
-    stored = d.filter("doc_id % 4 <> 0").select("file_path", F.when(F.col("doc_id") % 6 == 1, "old").otherwise(F.col("blob_sha")).alias("blob_sha"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_path"), F.sha1(F.encode("text", "UTF-8")).alias("blob_sha"), "lang", "source")
+    stored = d.filter("lang <> 'fr'").select("file_path", F.when(F.col("source") == "src1", "old").otherwise(F.col("blob_sha")).alias("blob_sha"))
     return changed_files(d, stored).select(F.col("file_path").cast("long").alias("doc_id"), "state")
 
 
@@ -235,11 +235,11 @@ def method_set_division(spark, sf_dir):
     return merge.division(p.select(F.col("p_brand").alias("owner"), F.col("p_size").alias("m")), need, "owner", "iface", "m")
 
 
-_HUNKS_SQL = "hunks AS (SELECT p_partkey AS hunk, 'src/' || lower(p_type) || '.py' AS file_path, (p_partkey * 7) % 90 AS lo, (p_partkey * 7) % 90 + p_size % 9 AS hi FROM part WHERE p_partkey % 5 = 0)"
+_HUNKS_SQL = "hunks AS (SELECT p_partkey AS hunk, 'src/' || lower(p_type) || '.py' AS file_path, (p_partkey * 7) % 90 AS lo, (p_partkey * 7) % 90 + p_size % 9 AS hi FROM part)"
 
 
 def _hunks(spark, sf_dir):
-    p = table(spark, sf_dir, "part").filter("p_partkey % 5 = 0")
+    p = table(spark, sf_dir, "part")
     lo = (F.col("p_partkey") * 7) % 90
     return p.select(F.col("p_partkey").alias("hunk"), F.concat(F.lit("src/"), F.lower("p_type"), F.lit(".py")).alias("file_path"), lo.alias("lo"), (lo + F.col("p_size") % 9).alias("hi"))
 
@@ -270,17 +270,18 @@ def predecessor_asof(spark, sf_dir):
 
 
 _CALLS_SQL = """
-sites AS (SELECT l_orderkey * 10 + l_linenumber AS site, l_orderkey, l_partkey, l_suppkey, p_name AS callee, p_type AS file, l_quantity AS argc FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 50 = 3),
-targets AS (SELECT p_partkey AS target, p_name AS name, p_type AS file, p_brand AS parent, p_size AS arity FROM part),
+sites AS (SELECT l_orderkey * 10 + l_linenumber AS site, l_orderkey, l_partkey, l_suppkey, p_name || p_size AS callee, p_type AS file, l_quantity::INTEGER AS argc FROM lineitem JOIN part ON p_partkey = l_partkey),
+targets AS (SELECT p_partkey AS target, p_name || p_size AS name, p_type AS file, p_brand AS parent, (p_partkey % 50)::INTEGER AS arity FROM part),
 cands AS (SELECT site, s.file AS from_file, target, t.file, parent, arity, argc, t.file = s.file AS same FROM sites s JOIN targets t ON t.name = s.callee AND t.target <> s.l_partkey),
 per AS (SELECT DISTINCT * FROM cands)"""
 
 
 def _candidates(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    l = table(spark, sf_dir, "lineitem").filter("l_orderkey % 50 = 3")  # noqa: E741
-    sites = l.join(p, F.col("p_partkey") == F.col("l_partkey")).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("site"), "l_partkey", F.col("p_name").alias("callee"), F.col("p_type").alias("from_file"), F.col("l_quantity").alias("argc"))
-    targets = p.select(F.col("p_partkey").alias("target"), F.col("p_name").alias("callee"), F.col("p_type").alias("file"), F.col("p_brand").alias("parent"), F.col("p_size").alias("arity"))
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    name = F.concat("p_name", F.col("p_size").cast("string")).alias("callee")
+    sites = l.join(p, F.col("p_partkey") == F.col("l_partkey")).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("site"), "l_partkey", name, F.col("p_type").alias("from_file"), F.col("l_quantity").cast("int").alias("argc"))
+    targets = p.select(F.col("p_partkey").alias("target"), name, F.col("p_type").alias("file"), F.col("p_brand").alias("parent"), (F.col("p_partkey") % 50).cast("int").alias("arity"))
     return sites.join(targets, "callee").filter("target <> l_partkey").withColumn("same", F.col("file") == F.col("from_file")).select("site", "from_file", "target", "file", "parent", "arity", "argc", "same").distinct()
 
 
@@ -338,16 +339,17 @@ def dispatch_rescue(spark, sf_dir):
 
 
 @query("""
-WITH marked AS (SELECT p_partkey AS wrapped, split_part(p_name, ' ', 1) AS mark FROM part), wrappers AS (SELECT c_custkey AS wrapper, lower(substr(c_mktsegment, 1, 3)) AS w, c_nationkey FROM customer WHERE c_nationkey = 3),
-hits AS (SELECT wrapped, wrapper, count(*) OVER (PARTITION BY wrapped) AS n FROM marked JOIN wrappers ON w = substr(mark, 1, 3))
-SELECT wrapper, wrapped, 0.7::DOUBLE AS confidence FROM hits WHERE n = 1
-UNION ALL SELECT l_orderkey, l_partkey, 0.7 FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_partkey % 97 = 5)""")
+WITH marked AS (SELECT p_partkey AS wrapped, right('0000' || p_partkey, 5) AS mark FROM part), wrappers AS (SELECT c_custkey AS wrapper, right(c_name, 5) AS mark FROM customer UNION ALL SELECT -1 - s_suppkey, right(s_name, 5) FROM supplier),
+hits AS (SELECT wrapped, wrapper, count(*) OVER (PARTITION BY wrapped) AS n FROM marked JOIN wrappers USING (mark)), one AS (SELECT wrapped, wrapper FROM hits WHERE n = 1)
+SELECT wrapper AS src, wrapped AS dst, 0.7::DOUBLE AS confidence FROM one UNION ALL SELECT DISTINCT l_orderkey, wrapper, 0.7 FROM lineitem JOIN one ON l_partkey = wrapped""")
 def decorator_supplement(spark, sf_dir):
-    p, c = table(spark, sf_dir, "part"), table(spark, sf_dir, "customer").filter("c_nationkey = 3")
-    marked = p.select(F.col("p_partkey").alias("wrapped"), F.substring(F.substring_index("p_name", " ", 1), 1, 3).alias("w"))
-    hits = marked.join(c.select(F.col("c_custkey").alias("wrapper"), F.lower(F.substring("c_mktsegment", 1, 3)).alias("w")), "w").withColumn("n", F.count("*").over(Window.partitionBy("wrapped")))
-    callers = table(spark, sf_dir, "lineitem").filter("l_partkey % 97 = 5").select(F.col("l_orderkey").alias("wrapper"), F.col("l_partkey").alias("wrapped")).distinct()
-    return hits.filter("n = 1").select("wrapper", "wrapped").unionByName(callers).withColumn("confidence", F.lit(0.7))
+    t = lambda n: table(spark, sf_dir, n)
+    mark = lambda c: F.expr(f"right({c}, 5)").alias("mark")
+    wrappers = t("customer").select(F.col("c_custkey").alias("wrapper"), mark("c_name")).unionByName(t("supplier").select((-1 - F.col("s_suppkey")).alias("wrapper"), mark("s_name")))
+    marked = t("part").select(F.col("p_partkey").alias("wrapped"), mark("concat('0000', p_partkey)"))
+    one = marked.join(wrappers, "mark").groupBy("wrapped").agg(F.count("*").alias("n"), F.min("wrapper").alias("wrapper")).filter("n = 1").drop("n")
+    callers = t("lineitem").join(one, F.col("l_partkey") == F.col("wrapped")).select(F.col("l_orderkey").alias("src"), F.col("wrapper").alias("dst")).distinct()
+    return one.select(F.col("wrapper").alias("src"), F.col("wrapped").alias("dst")).unionByName(callers).withColumn("confidence", F.lit(0.7))
 
 
 @query(f"""

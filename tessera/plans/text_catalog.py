@@ -86,12 +86,12 @@ def l2_normalize(spark, sf_dir):
 
 
 @query(f"""
-WITH {SYMBOLS_SQL}, semantic AS (SELECT 'p' || vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], {_Q_SQL}) AS score FROM embeddings WHERE vec_id < 200 ORDER BY score DESC, vec_id LIMIT 12),
+WITH {SYMBOLS_SQL}, semantic AS (SELECT 'p' || vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], {_Q_SQL}) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 12),
 lex AS (SELECT id, 100 AS rank, file_path || '|' || lpad(span_start::VARCHAR, 9, '0') AS place FROM symbols WHERE lower(name) = 'red_widget'),
 every AS (SELECT id, 0 AS tier, -round(score, 6) AS sort_by, id AS tie FROM semantic UNION ALL SELECT id, 1, -rank, place FROM lex WHERE id NOT IN (SELECT id FROM semantic))
 SELECT id, tier FROM every ORDER BY tier, sort_by, tie, id LIMIT 25""")
 def hybrid_query(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").filter("vec_id < 200")
+    v = table(spark, sf_dir, "embeddings")
     found = search.cosine_top(v, _Q, 12, "vec_id", "embedding", positive=False).select(F.concat(F.lit("p"), F.col("vec_id").cast("string")).alias("id"), F.round("score", 6).alias("score"))
     s = flat(symbols(spark, sf_dir)).filter("lower(name) = 'red_widget'")
     lex = s.select("id", F.lit(100).alias("rank"), F.concat_ws("|", "file_path", F.lpad(F.col("span_start").cast("string"), 9, "0")).alias("place"))
@@ -215,11 +215,11 @@ def rename_exact(spark, sf_dir):
 
 
 @query("""
-WITH gone AS (SELECT p_type || p_size AS key, p_partkey AS k FROM part WHERE p_partkey % 3 = 0), new AS (SELECT p_type || p_size AS key, p_partkey AS k FROM part WHERE p_partkey % 3 = 1)
+WITH gone AS (SELECT p_type || p_size AS key, p_partkey AS k FROM part WHERE p_brand < 'Brand#17'), new AS (SELECT p_type || p_size AS key, p_partkey AS k FROM part WHERE p_brand >= 'Brand#17')
 SELECT g.key, count(*) AS pairs, count(DISTINCT g.k) = 1 AND count(DISTINCT n.k) = 1 AS certain FROM gone g JOIN new n USING (key) GROUP BY g.key""")
 def rename_ambiguous(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.concat("p_type", F.col("p_size").cast("string")).alias("key"), F.col("p_partkey").alias("k"))
-    pairs = p.filter("k % 3 = 0").join(p.filter("k % 3 = 1").withColumnRenamed("k", "k2"), "key")
+    p = table(spark, sf_dir, "part").select(F.concat("p_type", F.col("p_size").cast("string")).alias("key"), F.col("p_partkey").alias("k"), "p_brand")
+    pairs = p.filter("p_brand < 'Brand#17'").select("key", "k").join(p.filter("p_brand >= 'Brand#17'").select("key", F.col("k").alias("k2")), "key")
     return pairs.groupBy("key").agg(F.count("*").alias("pairs"), ((F.countDistinct("k") == 1) & (F.countDistinct("k2") == 1)).alias("certain"))
 
 
@@ -241,10 +241,10 @@ def changed_symbols(spark, sf_dir):
 
 
 @query("""
-WITH changed AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 9 = 2), tests AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 30)
+WITH changed AS (SELECT o_orderkey AS k FROM orders WHERE o_orderpriority = '1-URGENT'), tests AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 30)
 SELECT k FROM changed WHERE k NOT IN (SELECT k FROM tests)""")
 def missing_tests(spark, sf_dir):
-    changed = table(spark, sf_dir, "orders").filter("o_orderkey % 9 = 2").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"), F.lit("python").alias("language"), F.col("o_orderkey").alias("k"))
+    changed = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"), F.lit("python").alias("language"), F.col("o_orderkey").alias("k"))
     e = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' AND l_quantity > 30").select(F.concat(F.lit("t"), F.col("l_orderkey").cast("string")).alias("src"), F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("dst"), F.lit("tests").alias("type"), F.lit(0.85).alias("confidence"), F.lit("heuristic").alias("source"), F.lit("test-evidence").alias("reason"))
     return certify.missing_tests(changed, e, F.lit(False), 1).select("k")
 
