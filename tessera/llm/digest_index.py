@@ -56,10 +56,11 @@ def first_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     all stay; empty texts are copies of one another. Of rows that are alike in
     text and key one stays.
     """
-    d, n = fresh(docs, "digest", "rank")
-    keyed = docs.withColumn(d, F.coalesce(digest(F.col(text)), F.encode(F.uuid(), "UTF-8")))
-    order = Window.partitionBy(d).orderBy(F.col(key).asc_nulls_last())
-    return keyed.withColumn(n, F.row_number().over(order)).filter(F.col(n) == 1).drop(d, n)
+    d, n, own = fresh(docs, "digest", "rank", "null_key")
+    # null texts are spread by their key, so that no task gets them all and a task that is run again gives the same rows
+    keyed = docs.withColumn(d, digest(F.col(text))).withColumn(own, F.when(F.col(text).isNull(), F.col(key)))
+    order = Window.partitionBy(d, own).orderBy(F.col(key).asc_nulls_last())
+    return keyed.withColumn(n, F.row_number().over(order)).filter((F.col(n) == 1) | F.col(text).isNull()).drop(d, n, own)
 
 
 def ingest(docs: DataFrame, index: DigestIndex) -> DataFrame:
