@@ -215,6 +215,8 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, b
     what white space separates, compared exactly. Stretches that overlap or touch are one. Repeats
     within one document alone are not reported; rows of one doc_id are one document. Null and
     short texts and null doc_ids have no rows; other columns are ignored; an empty table gives none.
+
+    ``sampled`` heads of suffixes, or four for each bucket where that is more, go to the driver to choose the splitters.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
@@ -239,9 +241,9 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, b
     shared = map_arrow(texts, find, "gram long, doc_id long, lead binary").withColumns({"lo": F.min("doc_id").over(same), "hi": F.max("doc_id").over(same)}).filter("lo <> hi")
     shared = materialize(shared.select("gram", "doc_id", "lead"), "shared-anchors")
     rows = shared.count()
-    leads = shared.filter("length(lead) > 0").orderBy(F.xxhash64("gram", "doc_id"), "gram", "doc_id").select("lead").limit(sampled).toArrow()["lead"].to_pylist()
-    leads.sort()
     buckets = max(1, -(-rows // bucket_rows))
+    leads = shared.filter("length(lead) > 0").orderBy(F.xxhash64("gram", "doc_id"), "gram", "doc_id").select("lead").limit(max(sampled, 4 * buckets)).toArrow()["lead"].to_pylist()
+    leads.sort()
     splitters = sorted({leads[k * len(leads) // buckets] for k in range(1, buckets)}) if leads else []
     known = spark.sparkContext.broadcast(splitters)
     chosen = shared.groupBy("doc_id").agg(F.collect_list("gram").alias("grams"))

@@ -56,6 +56,11 @@ def test_equals_brute_force_with_few_and_many_buckets(spark, seed, bucket_rows):
     assert got == brute(rows, 20)
 
 
+def test_odd_rows(odd):
+    got = {(r.doc_id, r.first_word, r.end_word, r.n_words, r.other_doc_id) for r in S.repeated_passages(odd, length=5, gram=3).collect()}
+    assert got == {(1, 0, 10, 10, 2), (2, 0, 10, 10, 1)}  # repeats within a text, however long, are none
+
+
 def test_empty_table(spark):
     assert S.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
