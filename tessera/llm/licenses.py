@@ -67,6 +67,7 @@ FAMILIES: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
     "Proprietary": (("a proprietary license", "a commercial license"), (
         "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher.",
         "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential.",
+        "All rights reserved.", "All rights reserved worldwide.", "(c) All rights reserved.", "Copyright (c) the authors. All rights reserved.", "Copyright 2019 Example Inc. All rights reserved.", "Copyright (c) 2021 by the publisher, all rights reserved.",
     )),
 }
 NOTICES = ("Licensed under {}.", "Released under {}.", "This work is licensed under {}.", "This project is licensed under {}.", "This software is released under {}.", "Distributed under {}.", "License: {}", "SPDX-License-Identifier: {}", "This file is made available under {}.", "The code is available under the terms of {}.")
