@@ -112,7 +112,7 @@ def calls(symbols: DataFrame, scope_table: DataFrame, structure: DataFrame) -> D
     value = lambda *by: F.element_at(F.create_map(*(F.lit(x) for i, v in enumerate(by) for x in (i, v))), F.col("stage"))
     return first.select(
         F.col("caller").alias("src"), F.col("target").alias("dst"), F.lit("calls").alias("type"), value(0.7, 0.95, 0.85, 0.7, 0.85, 0.6).alias("confidence"),
-        value("astkit", "astkit", "astkit", "astkit", "heuristic", "regex").alias("source"), value("property", "ast-narrowed", "inheritance", "dispatch", "constructor", "regex-fallback").alias("reason"),
+        value("ast", "ast", "ast", "ast", "heuristic", "regex").alias("source"), value("property", "ast-narrowed", "inheritance", "dispatch", "constructor", "regex-fallback").alias("reason"),
     )
 
 

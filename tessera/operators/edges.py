@@ -72,20 +72,20 @@ def in_scope(pairs: DataFrame, scope_table: DataFrame) -> DataFrame:
 
 
 def defines(symbols: DataFrame) -> DataFrame:
-    return edge(symbols.select(F.concat(F.lit("file:"), "file_path").alias("src"), F.col("id").alias("dst")), "defines", 1.0, "astkit", "structural")
+    return edge(symbols.select(F.concat(F.lit("file:"), "file_path").alias("src"), F.col("id").alias("dst")), "defines", 1.0, "ast", "structural")
 
 
 def imports(symbols: DataFrame) -> DataFrame:
     """From the file to each string that one of its symbols imports."""
     rows = symbols.select("file_path", F.explode("imports").alias("imp")).select(F.concat(F.lit("file:"), "file_path").alias("src"), F.concat(F.lit("import:"), "imp").alias("dst")).distinct()
-    return edge(rows, "imports", 0.9, "astkit", "structural")
+    return edge(rows, "imports", 0.9, "ast", "structural")
 
 
 def contains(symbols: DataFrame) -> DataFrame:
     """From a class-like symbol to those of its file that name it as their parent, without case."""
     parents = symbols.filter(F.col("kind").isin("struct", "class", "interface", "trait")).select(F.col("id").alias("src"), "file_path", F.lower("name").alias("parent"))
     children = symbols.filter("parent_symbol IS NOT NULL AND parent_symbol <> ''").select(F.col("id").alias("dst"), "file_path", F.lower("parent_symbol").alias("parent"))
-    return edge(parents.join(children, ["file_path", "parent"]).filter("src <> dst"), "contains", 1.0, "astkit", "structural")
+    return edge(parents.join(children, ["file_path", "parent"]).filter("src <> dst"), "contains", 1.0, "ast", "structural")
 
 
 def _bases() -> list[tuple[Column, str, Column, float]]:

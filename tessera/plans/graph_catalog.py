@@ -205,7 +205,7 @@ FROM old o FULL JOIN new n ON o.src = n.src AND o.dst = n.dst AND o.type = n.typ
 WHERE o.src IS NULL OR n.src IS NULL OR o.confidence <> n.confidence""")
 def edge_diff_sync(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    row = lambda df, c: df.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("src"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("dst"), F.lit("calls").alias("type"), c.cast("double").alias("confidence"), F.lit("astkit").alias("source"), F.lit("").alias("reason"))
+    row = lambda df, c: df.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("src"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("dst"), F.lit("calls").alias("type"), c.cast("double").alias("confidence"), F.lit("ast").alias("source"), F.lit("").alias("reason"))
     return merge.sync(row(o.filter("o_orderpriority <> '5-LOW'"), F.lit(0.9)), row(o.filter("o_orderpriority <> '1-URGENT'"), F.when(F.col("o_orderstatus") == "P", 0.95).otherwise(0.9)))
 
 

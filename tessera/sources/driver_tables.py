@@ -21,24 +21,24 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     why = F.when(F.col("l_returnflag") == "A", "dispatch").when(F.col("l_returnflag") == "N", "ast-narrowed").otherwise("regex-fallback")
     lines = t("lineitem")
     return (
-        row(t("orders"), _node("o", "o_orderkey"), _node("c", "o_custkey"), "calls", F.lit(0.95), "astkit", F.lit("ast-narrowed"))
+        row(t("orders"), _node("o", "o_orderkey"), _node("c", "o_custkey"), "calls", F.lit(0.95), "ast", F.lit("ast-narrowed"))
         .unionByName(row(lines, _node("o", "l_orderkey"), _node("p", "l_partkey"), "uses-type", F.round(1 - 5 * F.col("l_discount"), 4), "heuristic", why))
         .unionByName(row(lines, _node("p", "l_partkey"), _node("s", "l_suppkey"), "implements", F.lit(0.85), "heuristic", F.lit("type-ref")))
         .unionByName(row(t("supplier"), _node("s", "s_suppkey"), _node("n", "s_nationkey"), "extends", F.lit(0.85), "heuristic", F.lit("inheritance")))
         .unionByName(row(t("customer"), _node("c", "c_custkey"), _node("n", "c_nationkey"), "extends", F.lit(0.85), "heuristic", F.lit("inheritance")))
-        .unionByName(row(t("nation"), _node("n", "n_nationkey"), _node("r", "n_regionkey"), "defines", F.lit(1.0), "astkit", F.lit("structural")))
+        .unionByName(row(t("nation"), _node("n", "n_nationkey"), _node("r", "n_regionkey"), "defines", F.lit(1.0), "ast", F.lit("structural")))
     )
 
 
 EDGES_SQL = """
 edges AS (
-  SELECT 'o' || o_orderkey AS src, 'c' || o_custkey AS dst, 'calls' AS type, 0.95::DOUBLE AS confidence, 'astkit' AS source, 'ast-narrowed' AS reason FROM orders
+  SELECT 'o' || o_orderkey AS src, 'c' || o_custkey AS dst, 'calls' AS type, 0.95::DOUBLE AS confidence, 'ast' AS source, 'ast-narrowed' AS reason FROM orders
   UNION ALL SELECT 'o' || l_orderkey, 'p' || l_partkey, 'uses-type', round(1 - 5 * l_discount, 4), 'heuristic',
     CASE l_returnflag WHEN 'A' THEN 'dispatch' WHEN 'N' THEN 'ast-narrowed' ELSE 'regex-fallback' END FROM lineitem
   UNION ALL SELECT 'p' || l_partkey, 's' || l_suppkey, 'implements', 0.85, 'heuristic', 'type-ref' FROM lineitem
   UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'extends', 0.85, 'heuristic', 'inheritance' FROM supplier
   UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'extends', 0.85, 'heuristic', 'inheritance' FROM customer
-  UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'defines', 1.0, 'astkit', 'structural' FROM nation
+  UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'defines', 1.0, 'ast', 'structural' FROM nation
 )"""
 
 

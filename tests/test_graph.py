@@ -15,7 +15,7 @@ REASONS = ["", "dispatch", "regex-fallback", "inheritance", "constructor", "ast-
 
 def graph(seed, nodes=40, n=120):
     rng = Random(seed)
-    return [(f"n{rng.randrange(nodes)}", f"n{rng.randrange(nodes)}", rng.choice(EDGE_TYPES), rng.choice([0.5, 0.6, 0.7, 0.85, 0.95]), "astkit", rng.choice(REASONS)) for _ in range(n)]
+    return [(f"n{rng.randrange(nodes)}", f"n{rng.randrange(nodes)}", rng.choice(EDGE_TYPES), rng.choice([0.5, 0.6, 0.7, 0.85, 0.95]), "ast", rng.choice(REASONS)) for _ in range(n)]
 
 
 def allowed(policy, e):
@@ -84,7 +84,7 @@ def symbols_of(spark, rows):
 
 def test_tests_for_ignores_weak_paths_and_counts_them(spark):
     s = symbols_of(spark, [("T", "a.go", "Target", "go", "function"), ("M", "b.go", "Mid", "go", "function"), ("W", "c.go", "Weak", "go", "function"), ("X1", "a_test.go", "TestMid", "go", "function"), ("X2", "c_test.go", "TestWeak", "go", "function")])
-    e = spark.createDataFrame([("M", "T", "calls", 0.95, "astkit", "ast-narrowed"), ("X1", "M", "tests", 0.85, "heuristic", "test-evidence"), ("W", "T", "calls", 0.6, "regex", "regex-fallback"), ("X2", "W", "tests", 0.85, "heuristic", "test-evidence")], EDGES)
+    e = spark.createDataFrame([("M", "T", "calls", 0.95, "ast", "ast-narrowed"), ("X1", "M", "tests", 0.85, "heuristic", "test-evidence"), ("W", "T", "calls", 0.6, "regex", "regex-fallback"), ("X2", "W", "tests", 0.85, "heuristic", "test-evidence")], EDGES)
     found = [r.id for r in traverse.tests_for(s, e, " target ", is_test_symbol()).collect()]
     assert found == ["X1"]
     assert [r.id for r in traverse.tests_for(s, e, "target", is_test_symbol(), DIAGNOSTIC).collect()] == ["X1", "X2"]
@@ -94,7 +94,7 @@ def test_tests_for_ignores_weak_paths_and_counts_them(spark):
 
 
 def test_merge_keeps_the_most_confident_and_is_idempotent(spark):
-    df = spark.createDataFrame([("a", "b", "calls", 0.7, "native", ""), ("a", "b", "calls", 0.9, "astkit", "x"), ("a", "b", "calls", 0.9, "regex", "y"), ("a", "c", "calls", 0.5, None, None)], EDGES)
+    df = spark.createDataFrame([("a", "b", "calls", 0.7, "native", ""), ("a", "b", "calls", 0.9, "ast", "x"), ("a", "b", "calls", 0.9, "regex", "y"), ("a", "c", "calls", 0.5, None, None)], EDGES)
     once = merge.merge_edges(df)
     assert {(r.dst, r.confidence) for r in once.collect()} == {("b", 0.9), ("c", 0.5)}
     assert [r.source for r in once.filter("dst = 'c'").collect()] == ["unknown"]
