@@ -236,6 +236,35 @@ def test_hint_loses_nothing():
         assert secrets.find_parts(text), text
 
 
+def test_no_rule_is_skipped_on_a_text_that_it_matches():
+    """Random values of each rule, alone in prose, are found, and hold what lets the rule be tried."""
+    rng = Random(13)
+    word, hexa = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdef"
+    some = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    values = {
+        "aws_access_key_id": lambda: rng.choice(["AKIA", "ASIA"]) + some(word[:26] + word[52:], 16),
+        "private_key": lambda: f"-----BEGIN {rng.choice(['', 'RSA ', 'EC '])}PRIVATE KEY-----",
+        "vendor_token": lambda: rng.choice([f"gh{rng.choice('pousr')}_{some(word, 36)}", f"sk_live_{some(word, 16)}", f"xox{rng.choice('abprs')}-{some(word + '-', 10)}", f"AIza{some(word + '_-', 35)}"]),
+        "named_secret": lambda: rng.choice(["password", "API_KEY", "db_pwd", "token"]) + rng.choice(["=", ": ", " = '"]) + some("$!#%&*+-_?~^|<>(){}[]é" + word, 12),
+        "named_identifier": lambda: rng.choice(["user", "login", "client_id"]) + rng.choice(["=", ": "]) + some("$!#%*_-é" + word, 6),
+        "url": lambda: f"{rng.choice(['https', 'ftp', 's3'])}://{some('~_-é' + word, 8)}",
+        "email": lambda: f"{some(word + '_%+-', 6)}@{some(word, 5)}.{some(word, 3)}",
+        "ipv4": lambda: ".".join(str(rng.randrange(256)) for _ in range(4)),
+        "host_port": lambda: f"{some('abcxyz0189', 5)}.{some('abcxyz', 3)}:{rng.randrange(10, 99999)}",
+        "bare_hex": lambda: some(hexa, rng.choice([40, 64])),
+        "bare_base64": lambda: "aB1" + some(word + "+/", 37),
+    }
+    assert set(values) >= {name for name, *_ in secrets.RULES if name in secrets.HOLDS}
+    for name, _, _, pattern in secrets.COMPILED:
+        for _ in range(300 if name in values else 0):
+            value = values[name]()
+            m = pattern.search(value)
+            assert m and (name not in secrets.HOLDS or any(x in m[0] for x in secrets.HOLDS[name])), value
+            assert secrets.find_parts(f"some words before {value} and after"), value
+    for text in ("password = $x9#Kd82!mQz&Lp0vT", "api_key=_9dKq-2LmZ_x7Rt-0Wp"):
+        assert [p[0] for p in secrets.find_parts(text)] == ["named_secret"]
+
+
 def test_secrets_odd_rows(odd, empty):
     assert secrets.scan_secrets(odd).count() == 0 and secrets.scan_secrets(empty).count() == 0
 
