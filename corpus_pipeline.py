@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.digest_index import first_of_each
 from tessera.llm.mixing import mix
 from tessera.llm.packing import pack_documents
-from tessera.llm.queries import WEIGHTS
+from tessera.llm.queries import VOCABULARY, WEIGHTS
 from tessera.llm.simhash import drop_near_duplicates
 from tessera.llm.storage import materialize
 from tessera.llm.toxicity import drop_toxic
@@ -40,7 +40,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places every token of the mixed corpus in a sequence."""
-    return pack_documents(docs)
+    return pack_documents(docs, vocabulary=VOCABULARY)
 
 
 STAGES = [

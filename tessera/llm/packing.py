@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.storage import map_arrow, materialize
 from tessera.runtime import ship
 
 LENGTHS = (512, 1024, 2048, 4096)
@@ -60,10 +64,26 @@ def pack(lengths: list[int], sizes: tuple[int, ...] = LENGTHS, cost=sequence_cos
 SCHEMA = "doc_id long, piece int, n_tokens int, shard int, bin int, bin_size int, bin_offset int"
 
 
-def pack_documents(docs: DataFrame, sizes: tuple[int, ...] = LENGTHS, bytes_per_token: int = 4, shard_tokens: int = 1 << 24) -> DataFrame:
+def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """(doc_id, n) of every row of docs: how many pieces the sentencepiece model file ``vocabulary`` makes of its whole text; none of null."""
+    shared = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_proto=shared.value)
+        for batch in batches:
+            counts = [len(model.encode(text.as_py())) if text.is_valid else 0 for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["doc_id", "n"])
+
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n long")
+
+
+def pack_documents(docs: DataFrame, sizes: tuple[int, ...] = LENGTHS, bytes_per_token: int = 4, shard_tokens: int = 1 << 24, vocabulary: str | None = None) -> DataFrame:
     """Each document's place in the packed sequences: a row for each piece of it.
 
-    A document of n bytes has ceil(n / bytes_per_token) tokens. One longer than the
+    A document has the tokens that the sentencepiece model file ``vocabulary`` makes of its whole text; without a
+    vocabulary ceil(n / bytes_per_token) are taken for n bytes, an estimate by which sequences may overflow. One longer than the
     greatest size is cut into pieces of that size and a rest, so no token is
     lost. Documents are spread by hash over shards of about shard_tokens, each
     packed by itself; (shard, bin) names a sequence. Null and empty texts have
@@ -71,7 +91,10 @@ def pack_documents(docs: DataFrame, sizes: tuple[int, ...] = LENGTHS, bytes_per_
     too; other columns are ignored. An empty table gives no rows.
     """
     most = max(sizes)
-    tokens = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.ceil(F.octet_length("text") / bytes_per_token).cast("long").alias("n")).filter("n > 0")
+    if vocabulary is None:
+        tokens = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.ceil(F.octet_length("text") / bytes_per_token).cast("long").alias("n")).filter("n > 0")
+    else:
+        tokens = materialize(count_tokens(docs, vocabulary), "token-counts").filter("n > 0")
     total = tokens.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-int(total) // shard_tokens))
     pieces = tokens.select(

@@ -59,7 +59,7 @@ FROM documents WHERE text IS NOT NULL GROUP BY sha256(text)
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(documents(spark, sf_dir))
+    return pack_documents(documents(spark, sf_dir), vocabulary=VOCABULARY)
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -164,6 +164,34 @@ def test_packing_loses_no_token(odd, empty, spark):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_no_sequence_exceeds_its_size_in_tokens_of_the_vocabulary(spark, odd, empty):
+    import sentencepiece
+
+    from tessera.llm.queries import VOCABULARY
+
+    model = sentencepiece.SentencePieceProcessor(model_file=VOCABULARY)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    rows = QUERIES["op6_best_fit_packing"](spark, DATA).collect()
+    total, inside = Counter(), defaultdict(list)
+    for r in rows:
+        total[r.doc_id] += r.n_tokens
+        inside[r.shard, r.bin].append(r)
+    ids = {i: model.encode(t) for i, t in texts.items() if t}
+    assert total == Counter({i: len(x) for i, x in ids.items() if x})
+    most = max(packing.LENGTHS)
+    for own in inside.values():
+        real = sum(len(ids[r.doc_id][r.piece * most : (r.piece + 1) * most]) for r in own)
+        assert real == sum(r.n_tokens for r in own) <= own[0].bin_size
+    total.clear()
+    for r in packing.pack_documents(odd, vocabulary=VOCABULARY).collect():
+        total[r.doc_id] += r.n_tokens
+    want = Counter()
+    for r in ODD:
+        want[r[0]] += len(model.encode(r[1] or ""))
+    assert total == +want
+    assert packing.pack_documents(empty, vocabulary=VOCABULARY).count() == 0
+
+
 # mixing
 
 
