@@ -273,6 +273,8 @@ def test_no_rule_is_skipped_on_a_text_that_it_matches():
         "aws_access_key_id": lambda: rng.choice(["AKIA", "ASIA"]) + some(word[:26] + word[52:], 16),
         "private_key": lambda: f"-----BEGIN {rng.choice(['', 'RSA ', 'EC '])}PRIVATE KEY-----",
         "vendor_token": lambda: rng.choice([f"gh{rng.choice('pousr')}_{some(word, 36)}", f"sk_live_{some(word, 16)}", f"xox{rng.choice('abprs')}-{some(word + '-', 10)}", f"AIza{some(word + '_-', 35)}"]),
+        "url_user": lambda: f"{rng.choice(['https', 'amqp'])}://{some(word + '._-', 5)}:{some('$!*_-é' + word, 9)}@{some(word, 6)}",
+        "url_password": lambda: f"{rng.choice(['https', 'redis'])}://:{some('$!*_-é@:' + word, 9)}@{some(word, 6)}",
         "named_secret": lambda: rng.choice(["password", "API_KEY", "db_pwd", "token"]) + rng.choice(["=", ": ", " = '"]) + some("$!#%&*+-_?~^|<>(){}[]é" + word, 12),
         "named_identifier": lambda: rng.choice(["user", "login", "client_id"]) + rng.choice(["=", ": "]) + some("$!#%*_-é" + word, 6),
         "url": lambda: f"{rng.choice(['https', 'ftp', 's3'])}://{some('~_-é' + word, 8)}",
@@ -293,6 +295,17 @@ def test_no_rule_is_skipped_on_a_text_that_it_matches():
         assert [p[0] for p in secrets.find_parts(text)] == ["named_secret"]
 
 
+def test_credentials_in_one_string_are_linked(spark):
+    rows = [(1, "https://api.example.com/login?user=bob&password=hunter2"), (2, "postgres://admin:s3cr3tPass@db.example.com:5432/x"), (3, "redis://:hunter22@10.0.0.1"), (4, "https://db.example.com:5432/x and account=AT&T"), (5, "password=bob@example.com")]
+    text = dict(rows)
+    parts = {i: {(p[0], t[p[3] : p[4]]) for p in secrets.find_parts(t)} for i, t in rows}
+    assert parts[1] == {("named_secret", "hunter2"), ("named_identifier", "bob"), ("url", text[1])}
+    assert parts[2] == {("url_user", "admin"), ("url_password", "s3cr3tPass"), ("url", text[2])}
+    assert ("url_password", "hunter22") in parts[3] and ("named_identifier", "AT&T") in parts[4]
+    got = {(r.doc_id, r.rule, r.identifiers, r.secrets, bool(r.endpoints)) for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, "named_secret", 1, 0, True), (1, "named_identifier", 0, 1, False), (2, "url_user", 0, 1, False), (2, "url_password", 1, 0, True), (3, "url_password", 0, 0, True)}
+
+
 def test_secrets_odd_rows(odd, empty):
     assert secrets.scan_secrets(odd).count() == 0 and secrets.scan_secrets(empty).count() == 0
 
