@@ -6,7 +6,6 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 from pathlib import Path
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,10 +61,14 @@ def pack(lengths: list[int], sizes: tuple[int, ...] = LENGTHS, cost=sequence_cos
 
 
 SCHEMA = "doc_id long, piece int, n_tokens int, shard int, bin int, bin_size int, bin_offset int"
+COUNTS = "doc_id long, row long, n long"
 
 
 def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """(doc_id, n) of every row of docs: how many pieces the sentencepiece model file ``vocabulary`` makes of its whole text; none of null."""
+    """(doc_id, row, n) of every row of docs: how many pieces the sentencepiece model file ``vocabulary`` makes of its whole text; none of null.
+
+    ``row`` tells rows apart where doc_id is null or repeated.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,10 +76,10 @@ def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
 
         model = sentencepiece.SentencePieceProcessor(model_proto=shared.value)
         for batch in batches:
-            counts = [len(model.encode(text.as_py())) if text.is_valid else 0 for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["doc_id", "n"])
+            counts = [len(model.encode(text.as_py())) if text.is_valid else 0 for text in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], names=["doc_id", "row", "n"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id(), F.col("text").cast("string")), run, COUNTS)
 
 
 def pack_documents(docs: DataFrame, sizes: tuple[int, ...] = LENGTHS, bytes_per_token: int = 4, shard_tokens: int = 1 << 24, vocabulary: str | None = None) -> DataFrame:
@@ -85,28 +88,33 @@ def pack_documents(docs: DataFrame, sizes: tuple[int, ...] = LENGTHS, bytes_per_
     A document has the tokens that the sentencepiece model file ``vocabulary`` makes of its whole text; without a
     vocabulary ceil(n / bytes_per_token) are taken for n bytes, an estimate by which sequences may overflow. One longer than the
     greatest size is cut into pieces of that size and a rest, so no token is
-    lost. Documents are spread by hash over shards of about shard_tokens, each
+    lost. Documents are spread by hash of their row's number over shards of about shard_tokens, each
     packed by itself; (shard, bin) names a sequence. Null and empty texts have
-    no tokens and no row. Repeated rows are packed each by itself, a null doc_id
-    too; other columns are ignored. An empty table gives no rows.
+    no tokens and no row. Repeated rows are packed each by itself, null doc_ids
+    too, and neither gather in one shard; other columns are ignored. An empty table gives no rows.
+    The rows' numbers are written with the counts before anything is spread by them, so a task that is run again sees the same ones.
     """
     most = max(sizes)
     if vocabulary is None:
-        tokens = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.ceil(F.octet_length("text") / bytes_per_token).cast("long").alias("n")).filter("n > 0")
+        tokens = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.ceil(F.octet_length("text") / bytes_per_token).cast("long").alias("n"))
     else:
-        tokens = materialize(count_tokens(docs, vocabulary), "token-counts").filter("n > 0")
+        tokens = count_tokens(docs, vocabulary)
+    tokens = materialize(tokens, "token-counts").filter("n > 0")
     total = tokens.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-int(total) // shard_tokens))
     pieces = tokens.select(
         "doc_id",
-        F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"),
+        "row",
+        F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"),
         F.posexplode(F.transform(F.sequence(F.lit(0), F.expr(f"(n - 1) div {most}")), lambda k: F.least(F.lit(most).cast("long"), F.col("n") - k * most))).alias("piece", "n_tokens"),
     )
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc_id", "piece", "n_tokens"], kind="stable")
-        bins, offsets, bin_sizes = pack(group.n_tokens.tolist(), sizes)
-        return group.assign(bin=bins, bin_offset=offsets, bin_size=[bin_sizes[b] for b in bins])[["doc_id", "piece", "n_tokens", "shard", "bin", "bin_size", "bin_offset"]]
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("n_tokens", "ascending"), ("row", "ascending")])
+        bins, offsets, bin_sizes = pack(group["n_tokens"].to_pylist(), sizes)
+        columns = {"bin": bins, "bin_size": [bin_sizes[b] for b in bins], "bin_offset": offsets}
+        rest = [pa.array(x, pa.int32()) for x in columns.values()]
+        return pa.Table.from_arrays([*(group[c].cast(pa.int64() if c == "doc_id" else pa.int32()) for c in ("doc_id", "piece", "n_tokens", "shard")), *rest], names=["doc_id", "piece", "n_tokens", "shard", *columns])
 
     ship(docs.sparkSession)
-    return pieces.groupBy("shard").applyInPandas(run, SCHEMA)
+    return pieces.groupBy("shard").applyInArrow(run, SCHEMA)
