@@ -121,18 +121,25 @@ class Model:
     floor: float  # a family needs this probability
     known: dict[str, list[np.ndarray]]  # each family's templates as sorted hashes of 2-grams and lone words
 
-    def probabilities(self, words: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-        """Class probabilities of n paragraphs; features are counts over the square root of all grams."""
-        total, logits = np.zeros(n), np.zeros((n, len(self.classes)))
-        for h, at in _grams(words, owner):
-            who = owner[at]
-            total += np.bincount(who, minlength=n)
-            place = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            hit = np.flatnonzero(self.keys[place] == h)
-            if len(hit):
-                group = who[hit]
-                first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-                logits[group[first]] += np.add.reduceat(self.weights[place[hit]], first, axis=0)
+    def probabilities(self, words: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Class probabilities of the stretches words[start:end]; features are the counts of their 1-, 2- and 3-grams over the square root of all.
+
+        Stretches may overlap: weights are summed once along the words, and a stretch is a difference of two sums.
+        """
+        total, logits = np.zeros(len(start)), np.zeros((len(start), len(self.classes)))
+        h = words
+        with np.errstate(over="ignore"):
+            for n in (1, 2, 3):
+                if n > 1:
+                    h = mix64(h[:-1] * np.uint64(3) + words[n - 1 :])
+                if not len(h):
+                    break
+                place = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+                hit = np.flatnonzero(self.keys[place] == h)
+                sums = np.concatenate([np.zeros((1, len(self.classes))), np.cumsum(self.weights[place[hit]], axis=0)])
+                last = np.maximum(end - n + 1, start)
+                total += last - start
+                logits += sums[np.searchsorted(hit, last)] - sums[np.searchsorted(hit, start)]
         logits = logits / np.sqrt(np.maximum(total, 1))[:, None] + self.bias
         p = np.exp(logits - logits.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
@@ -226,17 +233,61 @@ def train(seed: int = 11, copies: int = 4, steps: int = 250, rate: float = 4.0,
     return Model(classes, keys[frequent], w.astype(np.float64), b.astype(np.float64), floor, known)
 
 
-SCHEMA = "doc_id long, paragraph int, family string, probability double, similarity double, confirmed boolean"
+#: Words of windows; the next begins a third of them later. Notices and the sentences of licences are as long as one of them or another.
+WINDOWS = (12, 24, 48)
+STOPS = np.zeros(256, bool)
+STOPS[[33, 46, 63]] = True  # ! . ?
+BLANK = np.zeros(256, bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
+def stretches(data: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, word after the last, paragraph) of what is classified in texts whose words lie at data[start:end].
+
+    Paragraphs are parted by lines without words. A stretch is a whole paragraph, one of its lines or sentences (which
+    end at .!? before white space, and may run over lines), or a window of one of the WINDOWS in a longer paragraph, so that a wrapped notice,
+    one among other lines and one inside a long line are each seen without much else.
+    """
+    n = len(start)
+    none = np.zeros(0, np.int64)
+    if not n:
+        return none, none, none
+    upto = lambda marks: np.concatenate([[0], np.cumsum(marks[data])])
+    newline = np.zeros(256, bool)
+    newline[10] = True
+    a, b = end[:-1], start[1:]
+    lines, stops, blanks = (c[b] - c[a] for c in map(upto, (newline, STOPS, BLANK)))
+    other = doc[1:] != doc[:-1]
+
+    def bounds(breaks):
+        first = np.flatnonzero(np.r_[True, breaks])
+        return first, np.r_[first[1:], n]
+
+    p0, p1 = bounds(other | (lines > 1))
+    paragraph_of = np.repeat(np.arange(len(p0)), p1 - p0)
+    parts = [(p0, p1), bounds(other | (lines > 0)), bounds(other | (lines > 1) | (stops > 0) & (blanks > 0))]
+    for width in WINDOWS:
+        long = np.flatnonzero(p1 - p0 > width)
+        step = width // 3
+        each = -(-(p1 - p0)[long] // step)
+        where = np.repeat(p0[long], each) + step * (np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each))
+        parts.append((where, np.minimum(where + width, np.repeat(p1[long], each))))
+    first, last = (np.concatenate(x) for x in zip(*parts))
+    _, keep = np.unique(first * (n + 1) + last, return_index=True)
+    return first[keep], last[keep], paragraph_of[first[keep]]
+
+
+SCHEMA = "doc_id long, paragraph int, family string, probability double, similarity double"
 
 
-def scan_licenses(docs: DataFrame, model: Model | None = None, confirm_at: float = 0.5, sure_at: float = 0.85) -> DataFrame:
-    """The paragraphs of documents (doc_id, text) that licence something, with family and probability.
+def scan_licenses(docs: DataFrame, model: Model | None = None, confirm_at: float = 0.5) -> DataFrame:
+    """The paragraphs of documents (doc_id, text) that licence something: a row for each family found in one.
 
-    A paragraph is a line. It is reported where a family's probability is the
-    greatest and reaches the calibrated floor, and a template of the family
-    holds at least confirm_at of its 2-grams (``confirmed``) or the
-    probability is sure_at or more; the rest is unknown and has no row. Null and empty texts give no rows;
-    repeated rows repeat theirs; a null doc_id stays null; other columns are ignored.
+    A family is found in a paragraph where in one of its stretches (see stretches) the family's probability is the greatest and
+    reaches the calibrated floor, and a template of the family confirms it: it holds at least confirm_at of
+    the stretch's 2-grams. ``probability`` is that of the likeliest such stretch, ``similarity`` that stretch's share; all else is unknown and has no row.
+    ``paragraph`` counts the text's paragraphs from 0. Null and empty texts give no rows, and an empty table none; a very long text is read whole,
+    alone in its turn; repeated rows repeat theirs; a null doc_id stays null; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or train())
 
@@ -251,26 +302,24 @@ def scan_licenses(docs: DataFrame, model: Model | None = None, confirm_at: float
             rows = []
             for i, j in doc_slices(all_offsets, 1 << 19):
                 data, offsets = string_buffers(column.slice(i, j - i))
-                words, doc, start, _ = hash_words(data, offsets, NON_ALNUM)
-                if not len(words):
+                words, doc, start, end = hash_words(data, offsets, NON_ALNUM)
+                first, last, paragraph = stretches(data, doc, start, end)
+                if not len(first):
                     continue
-                lines = np.flatnonzero(data == 10)
-                block = np.searchsorted(lines, start) + doc  # a new text is a new paragraph too
-                owner = np.cumsum(np.r_[0, (block[1:] != block[:-1]).astype(np.int64)])
-                n = int(owner[-1]) + 1
-                p = model.probabilities(words, owner, n)
+                p = model.probabilities(words, first, last)
                 best = p.argmax(1)
+                found: dict[tuple[int, int], tuple[float, float]] = {}
                 for k in np.flatnonzero((best < len(model.classes) - 1) & (p.max(1) >= model.floor)):
-                    a, b = np.searchsorted(owner, [k, k + 1])
-                    d = int(doc[a])
-                    family = model.classes[best[k]]
-                    near = float(model.similarity(family, words[a:b]))
-                    if near < confirm_at and p[k, best[k]] < sure_at:
-                        continue
-                    number = int(np.searchsorted(lines, start[a]) - np.searchsorted(lines, offsets[d]))
-                    rows.append((ids[i + d], number, family, float(p[k, best[k]]), near, near >= confirm_at))
-            columns = list(zip(*rows)) or [()] * 6
-            kinds = [pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.bool_()]
+                    near = float(model.similarity(model.classes[best[k]], words[first[k] : last[k]]))
+                    if near >= confirm_at:
+                        own = (int(paragraph[k]), int(best[k]))
+                        found[own] = max(found.get(own, (0.0, 0.0)), (round(float(p[k, best[k]]), 9), near))
+                for (number, c), (probability, near) in sorted(found.items()):
+                    d = int(doc[first[np.searchsorted(paragraph, number)]])
+                    before = int(paragraph[np.searchsorted(first, np.searchsorted(doc, d))])
+                    rows.append((ids[i + d], number - before, model.classes[c], probability, near))
+            columns = list(zip(*rows)) or [()] * 5
+            kinds = [pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, SCHEMA)

@@ -1,10 +1,12 @@
 """Compression bands, exact dedup, packing, mixing, secrets and licences."""
 
 import os
+import re
 from collections import Counter, defaultdict
 from random import Random
 
 import duckdb
+import numpy as np
 import pytest
 import zstandard
 
@@ -346,24 +348,111 @@ def model():
     return licenses.train()
 
 
+def words_of(text):
+    return re.findall(r"(?:[a-z0-9]|[^\x00-\x7f])+", text)
+
+
+def brute_stretches(text):
+    """{(paragraph, words of a stretch)} by splitting strings."""
+    out = set()
+    number = -1
+    for block in re.split(r"\n(?:[^\na-z0-9\x80-\U0010ffff]*\n)+", text):
+        if not words_of(block):
+            continue
+        number += 1
+        own = words_of(block)
+        pieces = [own, *(words_of(x) for x in block.split("\n")), *sentences(block)]
+        for width in licenses.WINDOWS:
+            if len(own) > width:
+                pieces += [own[k : k + width] for k in range(0, len(own), width // 3)]
+        out |= {(number, tuple(x)) for x in pieces if x}
+    return out
+
+
+def sentences(block):
+    out, now = [], []
+    for m in re.finditer(r"((?:[a-z0-9]|[^\x00-\x7f])+)|([\x00-\x60\x7b-\x7f]+?)(?=[a-z0-9\x80-\U0010ffff]|$)", block):
+        if m[1]:
+            now.append(m[1])
+        elif re.search(r"[.!?]", m[2]) and re.search(r"[\t\n\v\f\r ]", m[2]):
+            out.append(now)
+            now = []
+    return [*out, now]
+
+
+def brute_licences(text, model):
+    weight = dict(zip(model.keys.tolist(), model.weights))
+    best = {}
+    for number, own in brute_stretches(text.lower()):
+        h, d = licenses._words([" ".join(own)])
+        grams = [g for hashes, _ in licenses._grams(h, d) for g in hashes.tolist()]
+        z = sum((weight[g] for g in grams if g in weight), np.zeros(len(model.classes))) / np.sqrt(len(grams)) + model.bias
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        c = int(p.argmax())
+        if c == len(model.classes) - 1 or p[c] < model.floor:
+            continue
+        pairs = set(zip(own, own[1:])) or {own}
+        known = [words_of(t.lower()) for f, t in licenses.templates() if f == model.classes[c]]
+        near = max(len(pairs & (set(zip(k, k[1:])) if len(own) > 1 else {(x,) for x in k if len(k) < 2})) / len(pairs) for k in known)
+        if near >= 0.5:
+            key = (number, model.classes[c])
+            best[key] = max(best.get(key, (0, 0)), (round(float(p[c]), 9), near))
+    return {(*k, *v) for k, v in best.items()}
+
+
+def licence_texts():
+    rng = Random(12)
+    notices = [t for _, t in licenses.templates()]
+    rows = []
+    for i in range(150):
+        parts = []
+        for _ in range(rng.randrange(1, 6)):
+            kind = rng.random()
+            words = prose(rng.randrange(1, 130), rng.randrange(10**6)).split()
+            if kind < 0.5:
+                at = rng.randrange(len(words) + 1)
+                words[at:at] = [rng.choice(["", ". "]) + rng.choice(notices)]
+            joints = ["\n" if rng.random() < 0.08 else ". " if rng.random() < 0.1 else rng.choice([" ", " ", "-", ", "]) for _ in words]
+            parts.append("".join(w + x for w, x in zip(" ".join(words).split(" "), joints * 60)))
+        rows.append((i, rng.choice(["\n\n", "\n", "\n---\n", "\n \n\n"]).join(parts)))
+    return rows
+
+
+def test_licence_scan_equals_brute_force(spark, model):
+    rows = licence_texts()
+    got = defaultdict(set)
+    for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), model).collect():
+        got[r.doc_id].add((r.paragraph, r.family, r.probability, r.similarity))
+    close = lambda x: sorted((a, b, round(c, 6), round(d, 6)) for a, b, c, d in x)
+    want = {i: close(s) for i, t in rows if (s := brute_licences(t, model))}
+    assert len(want) > 60 and {i: close(s) for i, s in got.items()} == want
+
+
 def test_licence_classifier_on_held_out_variants(model):
     rng = Random(4)
     right = total = 0
     for family, text in licenses.templates():
         words = [w for w in text.split() if rng.random() > 0.06]
         w, d = licenses._words(["  ".join(words).upper()])
-        p = model.probabilities(w, d, 1)[0]
+        p = model.probabilities(w, np.array([0]), np.array([len(w)]))[0]
         total += 1
         right += model.classes[p.argmax()] == family
     assert right / total > 0.9
     w, d = licenses._words([prose(40, k) for k in range(300)])
-    p = model.probabilities(w, d, 300)
+    p = model.probabilities(w, np.searchsorted(d, np.arange(300)), np.searchsorted(d, np.arange(300), "right"))
     assert ((p.argmax(1) < len(model.classes) - 1) & (p.max(1) >= model.floor)).mean() < 0.01
 
 
-def test_licence_scan_finds_lines(spark, model, odd, empty):
-    rows = [(1, prose(50) + "\nReleased under the MIT License."), (2, "Licensed under the Apache License, Version 2.0.\n" + prose(20)), (3, prose(80)), (4, "He lost his driving licence in the general public park."), (5, f"{prose(9)}\n\nThis work is licensed under the GNU General Public License, version 3.\n{prose(9)}"), (6, "Licensed under CC BY-NC 4.0.")]
-    got = {(r.doc_id, r.paragraph, r.family, r.confirmed) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
-    assert got == {(1, 1, "MIT", True), (2, 0, "Apache-2.0", True), (5, 2, "GPL", True), (6, 0, "CC-BY-NC", True)}
+def test_licence_scan_finds_paragraphs(spark, model, odd, empty):
+    flat = prose(250).replace("\n", " ")
+    rows = [
+        (1, prose(50) + "\n\nReleased under the MIT License."), (2, "Licensed under the Apache License, Version 2.0.\n" + prose(20)), (3, prose(80)), (4, "He lost his driving licence in the general public park."),
+        (5, f"{prose(9)}\n\nThis work is licensed under\nthe GNU General Public License,\nversion 3.\n\n{prose(9)}"), (6, "Licensed under CC BY-NC 4.0."), (7, f"{flat}. Licensed under the Apache License, Version 2.0. {flat}"),
+        (8, f"{flat} Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. {flat}"), (None, "Released under the MIT License."), (9, "Released under the MIT License."), (9, "Released under the MIT License."), (10, (flat + "\n\n") * 300 + "License: MIT"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS paragraph", "2 AS family")
+    got = Counter((r.doc_id, r.paragraph, r.family) for r in licenses.scan_licenses(df, model).collect())
+    assert got == {(1, 1, "MIT"): 1, (2, 0, "Apache-2.0"): 1, (5, 1, "GPL"): 1, (6, 0, "CC-BY-NC"): 1, (7, 0, "Apache-2.0"): 1, (8, 0, "Apache-2.0"): 1, (None, 0, "MIT"): 1, (9, 0, "MIT"): 2, (10, 300, "MIT"): 1}
     assert licenses.scan_licenses(odd, model).count() == 0 and licenses.scan_licenses(empty, model).count() == 0
     assert len(LONG) > 1 << 19
