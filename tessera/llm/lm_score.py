@@ -280,9 +280,10 @@ def score_documents(docs: DataFrame, vocab: Vocabulary, adapted: np.ndarray | No
                     place.update(zip(new, range(len(place), len(place) + len(new))))
                     values = np.concatenate([values, log_probabilities(new, vocab, lanes)], axis=1)
                 index = np.fromiter(map(place.__getitem__, keys), np.int64, len(keys))
-                total = np.concatenate([np.zeros((len(lanes), 1)), np.cumsum(values[:, index], axis=1)], axis=1)
-                ends = np.cumsum(lengths)
-                own, fit = total[:, ends] - total[:, ends - lengths]
+                own, fit = np.zeros((len(lanes), len(lists)))
+                some = np.flatnonzero(lengths)
+                if len(some):  # each text is summed by itself, so its digits do not hang on its neighbours
+                    own[some], fit[some] = np.add.reduceat(np.ascontiguousarray(values[:, index]), (np.cumsum(lengths) - lengths)[some], axis=1)
                 null = np.array([t is None for t in texts[at:to]])
                 chars = np.array([len(t) if t else 0 for t in texts[at:to]])
                 bare = null | (chars == 0)
