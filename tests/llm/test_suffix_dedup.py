@@ -56,6 +56,25 @@ def test_equals_brute_force_with_few_and_many_buckets(spark, seed, bucket_rows):
     assert got == brute(rows, 20)
 
 
+def test_hot_passages_are_split_and_settled_across_parts(spark):
+    """A passage that most documents hold, rows that repeat, and documents with windows that only one other part has."""
+    rng = Random(6)
+    prose = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    boiler, other = prose(45), prose(33)
+    rows = []
+    for i in range(400):
+        cut = rng.randrange(20, 46)
+        own = boiler[:cut] if rng.random() < 0.7 else boiler[rng.randrange(15) :]
+        rows.append((i, " ".join([*prose(rng.randrange(12)), *own, *prose(rng.randrange(12)), *(other if rng.random() < 0.1 else [])])))
+    rows += [rows[3]] * 200 + [(4, f"{rows[5][1]} {k}") for k in range(100)] + [(5, f"{k} {rows[4][1]}") for k in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {(r.doc_id, r.first_word, r.end_word) for r in S.repeated_passages(df, length=20, gram=6).collect()}
+    for bucket_rows in (11, 60):
+        got = S.repeated_passages(df, length=20, gram=6, bucket_rows=bucket_rows, sampled=40).collect()
+        assert {(r.doc_id, r.first_word, r.end_word) for r in got} == brute(rows, 20) == whole
+        assert all(r.other_doc_id != r.doc_id for r in got)
+
+
 def test_odd_rows(odd):
     got = {(r.doc_id, r.first_word, r.end_word, r.n_words, r.other_doc_id) for r in S.repeated_passages(odd, length=5, gram=3).collect()}
     assert got == {(1, 0, 10, 10, 2), (2, 0, 10, 10, 1)}  # repeats within a text, however long, are none
@@ -67,7 +86,7 @@ def test_empty_table(spark):
 
 def test_multikey_quicksort_sorts():
     rng = np.random.default_rng(3)
-    words = rng.integers(0, 3, (500, 12)).astype(np.uint32)
+    words = rng.integers(1, 4, (500, 12)).astype(np.uint64)
     size = rng.integers(1, 13, 500)
     words[np.arange(12) >= size[:, None]] = 0
     order = S.multikey_quicksort(words, size)
