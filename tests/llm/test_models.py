@@ -6,6 +6,7 @@ from random import Random
 
 import numpy as np
 import pytest
+import sentencepiece
 
 import corpus_pipeline
 from tessera.llm import lm_score, toxicity
@@ -124,6 +125,72 @@ def test_network_equals_plain_loops():
                 assert got[i, at * toxicity.FILTERS + f] == pytest.approx(max(0, best + m.biases[at][f]), abs=1e-4)
 
 
+def test_one_step_follows_the_gradient():
+    """The first Adagrad step tells the gradient; it is that of the loss by finite differences."""
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 40, (k, 3)) for k in (1, 4, 9, 6)]
+    y = np.array([0.0, 1.0, 1.0, 0.0], np.float32)
+    ids, doc = np.concatenate(texts), np.repeat(np.arange(4), [len(t) for t in texts])
+    rate, decay, past = 0.1, 0.0, 1e-2
+    start = toxicity.train(texts, y, epochs=0)
+    after = toxicity.train(texts, y, epochs=1, rate=rate, decay=decay)
+
+    def loss(m):
+        x = m.embedding.astype(np.float64)[ids].sum(1)
+        pooled = np.zeros((4, len(m.out)))
+        for at, (w, kernel) in enumerate(zip(toxicity.WIDTHS, m.kernels)):
+            for i in range(4):
+                own = x[doc == i]
+                if len(own) >= w:
+                    r = [sum(own[p + j] @ kernel[j].astype(np.float64) for j in range(w)) for p in range(len(own) - w + 1)]
+                    pooled[i, at * toxicity.FILTERS : (at + 1) * toxicity.FILTERS] = np.maximum(np.max(r, axis=0) + m.biases[at], 0)
+        z = pooled @ m.out + m.bias
+        return float(np.mean(np.log1p(np.exp(z)) - y * z))
+
+    def slope(array, place, eps=2e-3):
+        old = array[place].copy()
+        array[place] = old + eps
+        up = loss(start)
+        array[place] = old - eps
+        down = loss(start)
+        array[place] = old
+        return (up - down) / (2 * eps)
+
+    def gradient(moved, size):
+        return moved * np.sqrt(past) / np.sqrt(np.maximum(rate**2 - size**2, 1e-12))
+
+    checked = 0
+    pairs = [(start.out, after.out), *zip(start.kernels, after.kernels), *zip(start.biases, after.biases)]
+    for old, new in pairs:
+        moved = (old - new).astype(np.float64)
+        for place in list(np.ndindex(old.shape))[:: max(1, old.size // 12)]:
+            want = slope(old, place)
+            assert gradient(moved[place], abs(moved[place])) == pytest.approx(want, abs=2e-3, rel=0.1)
+            checked += abs(want) > 1e-3
+    rows = np.unique(ids)
+    for r in rows[:12]:
+        moved = (start.embedding[r] - after.embedding[r]).astype(np.float64)
+        for d in (0, 5):
+            want = slope(start.embedding, (r, d))
+            assert gradient(moved[d], np.linalg.norm(moved)) == pytest.approx(want, abs=2e-3, rel=0.1)
+            checked += abs(want) > 1e-3
+    assert checked > 20
+
+
+def test_the_sample_is_bounded_in_rows_and_bytes(spark):
+    docs = [(i, f"t{i} " * (1000 if i % 5 == 0 else 10), "en", "s", 1) for i in range(200)]
+    docs += docs[:100] * 3 + [(7, "another text of the same id", "en", "s", 1), (None, "no id", "en", "s", 1), (8, None, "en", "s", 1)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(200)] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
+    df = spark.createDataFrame(docs, DOCS)
+    size = lambda rows, c: sum(len(r["text"]) for r in rows if r["toxic"] == c)
+    every = toxicity.training_rows(df, labels, {0: 999, 1: 999}, 1 << 30, "x").to_pylist()
+    assert Counter(r["doc_id"] for r in every) == Counter([*range(200), 7])
+    few = toxicity.training_rows(df, labels, {0: 30, 1: 40}, 9000, "x").to_pylist()
+    assert Counter(r["toxic"] for r in few)[0] <= 30 and Counter(r["toxic"] for r in few)[1] <= 40 and max(size(few, 0), size(few, 1)) <= 9000
+    text = {(r[0], r[1]) for r in docs}
+    assert all((r["doc_id"], r["text"]) in text for r in few) and few == toxicity.training_rows(df.repartition(3), labels, {0: 30, 1: 40}, 9000, "x").to_pylist()
+
+
 def test_toxicity_odd_rows(spark, odd, empty):
     docs, labels = labelled(300, 3)
     train = spark.createDataFrame([*labels, (None, 1, 1), (5, None, None), (5, 0, 1), (5, 0, 0)], "doc_id long, quality int, toxic int")
@@ -134,6 +201,19 @@ def test_toxicity_odd_rows(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.drop_toxic(odd, none).count() == len(ODD) and toxicity.drop_toxic(empty, train).count() == 0
     assert toxicity.toxic_documents(empty, none).count() == 0
+    # odd rows beside documents that the model learns from
+    bad = "w1 idiot w2 moron scum w3 trash"
+    odd_rows = odd.unionByName(spark.createDataFrame([(None, bad, None, "s", 1), (900, bad, "en", "s", 1), (900, bad, "en", "s", 1), (900, "w1 w2 w3", "en", "s", 1), (901, "w5 " * 90_000 + bad, "xx", "s", 1)], DOCS), allowMissingColumns=True)
+    mixed = both.unionByName(odd_rows, allowMissingColumns=True)
+    kept = toxicity.drop_toxic(mixed, train)
+    assert kept.columns == mixed.columns
+    left = Counter((r.doc_id, r.text) for r in kept.collect() if r.doc_id is None or r.doc_id >= 900 or (r.doc_id, r.text) in {x[:2] for x in ODD})
+    assert not any(t == bad or (t or "").endswith(bad) for _, t in left) and left[900, "w1 w2 w3"] == 1
+    for (i, text), n in Counter(r[:2] for r in ODD).items():
+        assert left[i, text] >= n or left[i, text] == 0 and (text or "").strip()  # wordless rows stay, repeated rows go together
+    # one document of each class: nothing is held out
+    tiny = toxicity.fit(spark.createDataFrame([(1, "w1 idiot", "en", "s", 1), (2, "w1 w2", "en", "s", 1)], DOCS), spark.createDataFrame([(1, 0, 1), (2, 1, 0)], "doc_id long, quality int, toxic int"))
+    assert tiny.thresholds == {} and tiny.default_threshold == 0.5
 
 
 def test_pipeline_stages_by_brute_force(spark, tmp_path):
@@ -144,6 +224,7 @@ def test_pipeline_stages_by_brute_force(spark, tmp_path):
     docs += [(2000 + k, " ".join("edit" if rng.random() < 0.02 else x for x in docs[k][1].split()), "en", "s", 1) for k in range(0, 60, 3)]
     spark.createDataFrame(docs, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    model = sentencepiece.SentencePieceProcessor(model_file=VOCABULARY)
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["toxicity", "exact dedup", "near dedup", "mixing", "packing"] and corpus_pipeline.ORACLE_SQL is None
     now = spark.read.parquet(f"{tmp_path}/documents.parquet")
@@ -175,8 +256,34 @@ def test_pipeline_stages_by_brute_force(spark, tmp_path):
                 size[r.doc_id] += r.n_tokens
             want = Counter()
             for r in now.collect():
-                want[r.doc_id] += -(-len(r.text.encode()) // 4)
+                want[r.doc_id] += len(model.encode(r.text))
             assert size == want
         now = out
     assert first_of_each(spark.read.parquet(f"{tmp_path}/documents.parquet")).count() < len(docs)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
+
+
+def test_pipeline_stages_bear_odd_rows(spark, odd, empty, tmp_path):
+    """Null texts and keys, empty and long texts, repeated rows, columns with operators' names, and empty tables, through every stage."""
+    docs, labels = labelled(200, 6)
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    full = spark.createDataFrame(docs, DOCS).unionByName(odd, allowMissingColumns=True)
+    for name, first in (("full", full), ("empty", odd.limit(0)), ("few", odd)):
+        now = first
+        for k, (stage, function) in enumerate(corpus_pipeline.STAGES):
+            out = function(spark, now, str(tmp_path))
+            path = f"{tmp_path}/{name}-{k}"
+            out.write.parquet(path)
+            out = spark.read.schema(out.schema).parquet(path)
+            old, new = Counter((r.doc_id, r.text) for r in now.collect()), out.collect()
+            if stage != "packing":
+                assert out.columns == now.columns
+                kept = Counter((r.doc_id, r.text) for r in new)
+                assert set(kept) <= set(old)
+                if stage in ("toxicity", "exact dedup", "near dedup"):
+                    assert all(kept[x] == n for x, n in old.items() if x[1] is None) and sum(n for x, n in kept.items() if x[1] == "") == min(1, sum(n for x, n in old.items() if x[1] == ""))
+                if stage == "exact dedup":
+                    assert all(n == 1 for x, n in kept.items() if x[1] is not None) and len({t for _, t in kept}) == len({t for _, t in old})
+            else:
+                assert {r.doc_id for r in new} <= {i for i, _ in old} and bool(new) == (name != "empty")
+            now = out
