@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.storage import fresh, materialize
+from tessera.llm.storage import fresh, materialize, shared_path
 
 
 def digest(text):
@@ -42,6 +42,10 @@ class DigestIndex:
         """Adds (digest, doc_id) rows in one write; a failed job leaves no part of them."""
         rows.select(F.col("digest"), F.col("doc_id").cast("long")).write.insertInto(self.name)
 
+    def close(self) -> None:
+        """Takes the table out of the catalog; its files stay, so that the path can be opened again."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def compact(self, target: str) -> DigestIndex:
         """A copy at another path with one sorted file in each bucket."""
         other = DigestIndex(self.spark, target, self.buckets)
@@ -49,18 +53,36 @@ class DigestIndex:
         return other
 
 
-def first_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs without the later copies of a text: of each group the row of least key stays (a null key comes last).
+def least_rows(docs: DataFrame, name: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(name, row) of each different text: its digest, and as a struct of docs' columns the row of least key (null last).
+
+    Rows alike in text and key are ordered by their other columns, nulls first, so the result hangs on the rows alone. Copies are reduced
+    before they are shuffled: a text that a third of all rows hold sends one row from each task. Null texts have none.
+    """
+    # columns that have no order, such as maps, do not break ties
+    ordered = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.name not in (text, key) and f.dataType.typeName() not in ("map", "variant", "void")]
+    rank = F.struct(F.col(key).isNull(), F.col(key), *ordered)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.filter(F.col(text).isNotNull()).groupBy(digest(F.col(text)).alias(name)).agg(F.min_by(row, rank).alias("row"))
+
+
+def first_of_each(docs: DataFrame, index: DigestIndex | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """docs without the copies of a text that docs or the index hold; what stays is appended to the index.
 
-    Columns and rows are otherwise as they were. Null texts equal nothing and
-    all stay; empty texts are copies of one another. Of rows that are alike in
-    text and key one stays.
+    Of each text that the index (by default a new, empty one in the shared folder) lacks the row of least key stays, a null key
+    comes last; of rows alike in text and key the one whose other columns are least. Columns are as they were. Null texts equal nothing, are
+    not indexed and all stay; empty texts are copies of one another; a very long text is as good as another; an empty table stays empty.
     """
-    d, n, own = fresh(docs, "digest", "rank", "null_key")
-    # null texts are spread by their key, so that no task gets them all and a task that is run again gives the same rows
-    keyed = docs.withColumn(d, digest(F.col(text))).withColumn(own, F.when(F.col(text).isNull(), F.col(key)))
-    order = Window.partitionBy(d, own).orderBy(F.col(key).asc_nulls_last())
-    return keyed.withColumn(n, F.row_number().over(order)).filter((F.col(n) == 1) | F.col(text).isNull()).drop(d, n, own)
+    spark = docs.sparkSession
+    own = index or DigestIndex(spark, shared_path(spark, "digest-index"))
+    d = fresh(docs, "digest")[0]
+    new = least_rows(docs, d, text, key)
+    known = own.table().select(F.col("digest").alias(d))
+    kept = materialize(new.hint("merge").join(known.hint("merge"), d, "left_anti").select(d, "row.*"), "first-rows")
+    own.append(kept.select(F.col(d).alias("digest"), F.col(key).cast("long").alias("doc_id")))
+    if index is None:
+        own.close()
+    return kept.drop(d).unionByName(docs.filter(F.col(text).isNull()))
 
 
 def ingest(docs: DataFrame, index: DigestIndex) -> DataFrame:
@@ -78,3 +100,24 @@ def ingest(docs: DataFrame, index: DigestIndex) -> DataFrame:
     added = materialize(fresh_rows, "appended")
     index.append(added)
     return added.select("doc_id", F.lower(F.hex("digest")).alias("digest"))
+
+
+def ingest_in_turns(docs: DataFrame, index: DigestIndex, turns: int = 2) -> DataFrame:
+    """What ingest returns for each of ``turns`` batches that together are docs, in order of doc_id (nulls in the last).
+
+    Batches are ranges of doc_id of equal width, so a text is represented by its least doc_id, however many the turns; every
+    batch but the first meets an index that holds those before. An empty index at the start is filled by the first.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    edges = [low + (high - low + 1) * k // turns for k in range(1, turns)] if low is not None else []
+    added = None
+    for k in range(len(edges) + 1):
+        inside = F.lit(True)
+        if k:
+            inside = inside & (F.col("doc_id") >= edges[k - 1])
+        if k < len(edges):
+            inside = inside & (F.col("doc_id") < edges[k])
+        batch = ingest(docs.filter(inside if k < len(edges) else inside | F.col("doc_id").isNull()), index)
+        added = batch if added is None else added.unionByName(batch)
+    return added

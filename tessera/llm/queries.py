@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.compression import compression_filter
-from tessera.llm.digest_index import DigestIndex, ingest
+from tessera.llm.digest_index import DigestIndex, ingest_in_turns
 from tessera.llm.licenses import scan_licenses
 from tessera.llm.lm_score import load_vocabulary, score_documents
 from tessera.llm.mixing import mix
@@ -49,7 +49,9 @@ def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = DigestIndex(spark, shared_path(spark, "digest-index"))
-    return ingest(documents(spark, sf_dir), index)
+    added = ingest_in_turns(documents(spark, sf_dir), index)
+    index.close()
+    return added
 
 
 OP5_SQL = """

@@ -1,5 +1,6 @@
 """Compression bands, exact dedup, packing, mixing, secrets and licences."""
 
+import hashlib
 import os
 import re
 from collections import Counter, defaultdict
@@ -80,11 +81,34 @@ def brute_first(rows):
     return [v for k, v in best.items() if k is not None] + [r for r in rows if r[1] is None]
 
 
-def test_first_of_each_odd_rows(odd, empty):
+def test_first_of_each_odd_rows(spark, odd, empty):
     got = digest_index.first_of_each(odd)
     assert got.columns == odd.columns
     assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(r[:2] for r in brute_first(ODD))
     assert digest_index.first_of_each(empty).count() == 0
+    # rows alike in text and key: the least by the other columns, whatever the order of the rows
+    ties = spark.createDataFrame([(1, "a", "z"), (1, "a", "b"), (1, "a", "b"), (2, "a", "a"), (None, "a", "a"), (None, "c", "y"), (None, "c", None), (3, None, "q"), (3, None, "q")], "doc_id long, text string, digest string")
+    for df in (ties, ties.repartition(4), ties.orderBy("digest")):
+        assert Counter(map(tuple, digest_index.first_of_each(df).collect())) == {(1, "a", "b"): 1, (None, "c", None): 1, (3, None, "q"): 2}
+
+
+def test_first_of_each_leaves_out_what_the_index_holds(spark):
+    index = digest_index.DigestIndex(spark, shared_path(spark, "test-index"), 4)
+    batch = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, text string")
+    assert {r.doc_id for r in digest_index.first_of_each(batch((4, "a"), (3, "a"), (5, "b")), index).collect()} == {3, 5}
+    assert {tuple(r) for r in digest_index.first_of_each(batch((1, "a"), (2, "d"), (9, None)), index).collect()} == {(2, "d"), (9, None)}
+    assert index.table().count() == 3
+
+
+@pytest.mark.parametrize("turns", [1, 2, 5])
+def test_turns_of_ingestion_keep_the_least_ids(spark, turns):
+    rng = Random(turns)
+    rows = [(rng.choice([None, rng.randrange(-40, 60)]), rng.choice(["", None, *map(str, range(25))])) for _ in range(300)]
+    index = digest_index.DigestIndex(spark, shared_path(spark, "test-index"), 4)
+    got = digest_index.ingest_in_turns(spark.createDataFrame(rows, "doc_id long, text string"), index, turns).collect()
+    want = {hashlib.sha256(t.encode()).hexdigest(): i for i, t in brute_first(rows) if t is not None}
+    assert {r.digest: r.doc_id for r in got} == want and len(got) == len(want) == index.table().count()
+    assert digest_index.ingest_in_turns(spark.createDataFrame([], "doc_id long, text string"), index, turns).count() == 0
 
 
 def test_index_persists_and_grows(spark):
