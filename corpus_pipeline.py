@@ -19,27 +19,47 @@ from tessera.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the classifier judges toxic; it is trained on the labelled ones among them."""
+    """Drops the documents that the classifier judges toxic; it is trained on the labelled ones among them.
+
+    Null, empty and wordless texts stay, very long ones are judged whole, repeated rows share their fate; a null doc_id has no label
+    but is judged; without labels of both classes all stay; an empty table stays empty. All columns pass, whatever their names.
+    """
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each text the row of least doc_id."""
+    """Keeps of each text the row of least doc_id, by an index of digests that is empty at the start of a run.
+
+    Null texts all stay, empty ones are copies of one another; null doc_ids come last; of rows alike in both one stays, the
+    least by its other columns; an empty table stays empty. All columns pass, whatever their names.
+    """
     return first_of_each(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each near-duplicate group the document of least doc_id."""
+    """Keeps of each near-duplicate group the document of least doc_id.
+
+    Null and wordless texts are in no group and stay; a null doc_id is greater than all others; rows alike in doc_id and signature
+    stay or go together; an empty table stays empty. All columns pass, whatever their names.
+    """
     return drop_near_duplicates(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and samples documents to the sources' target weights."""
+    """Repeats and samples documents to the sources' target weights.
+
+    A null source is a source of its own; null texts have no characters and go with their source; a null doc_id hashes as an empty
+    one; rows of one doc_id are kept or left together; an empty table stays empty. All columns pass, whatever their names.
+    """
     return mix(docs, WEIGHTS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places every token of the mixed corpus in a sequence."""
+    """Places every token of the mixed corpus in a sequence.
+
+    Null and empty texts have no row; a long text has one for each piece; repeated rows and null doc_ids are packed each by itself; an empty
+    table gives no rows. Columns other than doc_id and text are left out.
+    """
     return pack_documents(docs, vocabulary=VOCABULARY)
 
 
