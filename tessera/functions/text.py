@@ -6,16 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 STOPWORDS = (
-    "the", "a", "an", "and", "or", "of", "to", "in", "on", "for", "with", "by", "is", "are", "be", "as", "at", "it", "its", "this",
-    "that", "from", "if", "then", "else", "not", "no", "return", "returns", "func", "function", "def", "class", "self", "var", "let", "const",
+    "the", "a", "an", "is", "of", "for", "to", "in", "and", "or", "with", "this", "that", "be", "on", "as", "it",
+    "func", "function", "method", "class", "struct", "return", "returns", "var", "let", "const", "void", "int", "str", "string", "bool", "true", "false", "null", "none", "self",
 )
+_DOCUMENTS = "md mdx markdown yaml yml json xml sh bash zsh fish toml ini cfg conf txt proto sql graphql gql csv".split()
 LANGUAGES = {
-    "go": "go", "py": "python", "pyi": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx": "tsx",
-    "java": "java", "rs": "rust", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "hxx": "cpp", "cs": "csharp", "php": "php",
-    "md": "plaintext", "txt": "plaintext", "rst": "plaintext", "yaml": "plaintext", "yml": "plaintext", "toml": "plaintext", "json": "plaintext", "xml": "plaintext", "html": "plaintext", "css": "plaintext", "sql": "plaintext", "sh": "plaintext", "proto": "plaintext", "ini": "plaintext", "cfg": "plaintext",
-}
-BASENAMES = {"Dockerfile": "plaintext", "Makefile": "plaintext", "LICENSE": "plaintext", "README": "plaintext", "NOTICE": "plaintext", "CHANGELOG": "plaintext"}
-PRUNED = (".git", ".hg", ".svn", "node_modules", "vendor", "target", "dist", "build", "out", ".venv", "venv", "__pycache__", ".idea", ".vscode", ".gradle", ".next", ".cache")
+    "go": "go", "py": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "tsx", "java": "java", "rs": "rust", "c": "c", "h": "c",
+    "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "c++": "cpp", "hh": "cpp", "hpp": "cpp", "hxx": "cpp", "cs": "csharp", "php": "php", "php3": "php", "php4": "php", "php5": "php", "phtml": "php",
+} | dict.fromkeys(_DOCUMENTS, "plaintext")
+BASENAMES = dict.fromkeys("Makefile GNUmakefile makefile Dockerfile Containerfile .gitignore .dockerignore .gitattributes .editorconfig .eslintignore .prettierignore .nvmrc .node-version .python-version".split(), "plaintext")
+PRUNED = (".git", ".tessera", ".cache", ".venv", ".tox", ".next", ".idea", "node_modules", "vendor", "dist", "bin", "__pycache__", "target", "coverage", ".pytest_cache", ".mypy_cache", ".ruff_cache")
 
 
 def base_name(path: Column) -> Column:
@@ -54,8 +54,8 @@ def language_of(path: Column) -> Column:
 
 
 def is_sensitive(path: Column) -> Column:
-    """Dotenv files, names with secret or credential, keys and certificates, and the ignore files themselves."""
-    return F.lower(base_name(path)).rlike(r"^\.env($|\.)|secret|credential|\.(pem|key|crt|cer|p12|pfx|jks|keystore)$|^id_(rsa|dsa|ecdsa|ed25519)$|^\.[a-z]*ignore$")
+    """Files of settings that hold credentials, names with secret or credential, keys and certificates, and ignore files of the project, without case."""
+    return F.lower(base_name(path)).rlike(r"^\.(git|tessera)ignore$|^\.envrc$|^\.env\.|\.env$|^\.(npmrc|pypirc|netrc)$|secret|credential|\.(key|pem|crt|cer|p12|pfx|jks|keystore|pkcs12)$")
 
 
 def in_pruned_dir(path: Column) -> Column:
@@ -64,13 +64,16 @@ def in_pruned_dir(path: Column) -> Column:
 
 def is_test_path(path: Column) -> Column:
     """By a language's convention for the file's name, or a directory test, tests or __tests__ on the way."""
-    return F.lower(path).rlike(r"(_test\.go|\.(test|spec)\.[cm]?[jt]sx?|(^|/)test_[^/]*\.py|_test\.py|tests?\.(java|cs|php)|_test\.(rs|c|cc|cpp))$|(^|/)(tests?|__tests__)/")
+    path = F.replace(path, F.lit("\\"), F.lit("/"))
+    any_case = F.lower(base_name(path)).rlike(r"_test\.(go|py)$|^test_.*\.py$|\.(test|spec)\.(ts|tsx|js|jsx)$")
+    exact = base_name(path).rlike(r"(Test|Spec)\.java$|Tests?\.cs$|Test\.php$")
+    return any_case | exact | F.arrays_overlap(F.split(dir_name(path), "/"), F.array(F.lit("tests"), F.lit("test"), F.lit("__tests__")))
 
 
 def has_test_annotation(annotations: Column) -> Column:
     """A unit-test mark among the annotations, with or without its @ or brackets."""
-    bare = lambda a: F.lower(F.regexp_replace(a, r"^[@#\[\s]+|[\]\s]+$", ""))
-    return F.exists(F.coalesce(annotations, F.array().cast("array<string>")), lambda a: bare(a).rlike(r"^(test(\(|$|case|method)|fact|theory|tokio::test|pytest\.mark|parameterizedtest)"))
+    bare = lambda a: F.lower(F.regexp_replace(F.trim(a), r"^(?:@|#?\[)\s*|\s*\]$", ""))
+    return F.exists(F.coalesce(annotations, F.array().cast("array<string>")), lambda a: bare(a).rlike(r"^(test$|test\(|testcase|testmethod$|fact$|theory$|tokio::test|async_std::test|pytest\.mark)") | F.lower(F.trim(a)).startswith("#[test"))
 
 
 def is_property_annotation(annotations: Column) -> Column:
@@ -78,12 +81,12 @@ def is_property_annotation(annotations: Column) -> Column:
 
 
 def is_exported(language: Column, name: Column, signature: Column) -> Column:
+    """By the language's rule on the name or on the line that declares it; languages without a rule export nothing."""
     return (
-        F.when(language == "go", name.rlike(r"^\p{Lu}"))
-        .when(language.isin("javascript", "typescript", "tsx"), signature.contains("export "))
+        F.when(language == "go", name.rlike("^[A-Z]"))
+        .when(language.isin("javascript", "typescript", "tsx"), signature.contains("export ") | signature.contains("module.exports"))
         .when(language == "python", ~name.startswith("_"))
-        .when(language.isin("java", "csharp", "php"), signature.rlike(r"\bpublic\b"))
-        .when(language == "rust", signature.rlike(r"\bpub\b"))
+        .when(language.isin("java", "rust"), signature.contains("public ") | signature.contains("pub "))
         .otherwise(False)
     )
 

@@ -26,22 +26,52 @@ def family(language: Column) -> Column:
     return F.when(language.isin("javascript", "typescript", "tsx"), "web").when(language.isin("c", "cpp"), "c").otherwise(language)
 
 
+def crate_root(path: Column) -> Column:
+    """The folder of the crate that a Rust file belongs to: what holds its src, tests, benches or examples folder, else its own."""
+    return F.when(path.rlike(r"(^|/)(src|tests|benches|examples)/"), F.regexp_extract(path, r"^(.*?)/?(?:src|tests|benches|examples)/", 1)).otherwise(dir_name(path))
+
+
+def crate_scope(symbols: DataFrame) -> DataFrame:
+    """(from_file, to_file) over crates, marked crate: and their folder: the own one, those that any file of it uses, and what these re-export by ``pub use``, and so on."""
+    files = symbols.filter("language = 'rust'").select(crate_root(F.col("file_path")).alias("root"), "imports")
+    roots = files.select("root").distinct()
+    named = roots.select("root", F.replace(F.lower(base_name(F.col("root"))), F.lit("-"), F.lit("_")).alias("name"))
+    used = files.select("root", F.explode("imports").alias("imp")).distinct()
+    head = F.lower(F.substring_index(F.regexp_replace("imp", r"^pub (use )?", ""), "::", 1))
+    used = used.select("root", F.col("imp").startswith("pub ").alias("public"), head.alias("name")).filter("name NOT IN ('', 'crate', 'super', 'self', 'std', 'core', 'alloc')")
+    # a package's name often has the folder's as its last word
+    tries = used.withColumn("short", F.substring_index("name", "_", -1))
+    exact = tries.join(named.withColumnRenamed("root", "to"), "name").select("root", "public", "name", "to")
+    short = tries.join(named.select("name"), "name", "left_anti").join(named.select(F.col("root").alias("to"), F.col("name").alias("short")), "short").select("root", "public", "name", "to")
+    links = materialize(exact.unionByName(short).filter("root <> to").select("root", "public", "to").distinct(), "crate-links")
+    found = materialize(links.select("root", "to").distinct(), "crates")
+    again = links.filter("public").select(F.col("root").alias("to"), F.col("to").alias("next")).distinct()
+    size = found.count()
+    while size:
+        found = materialize(found.unionByName(found.join(again, "to").select("root", F.col("next").alias("to"))).filter("root <> to").distinct(), "crates")
+        more = found.count()
+        if more == size:
+            break
+        size = more
+    mark = lambda c: F.concat(F.lit("crate:"), c)
+    return found.unionByName(roots.select("root", F.col("root").alias("to"))).select(mark("root").alias("from_file"), mark("to").alias("to_file"))
+
+
 def scope(symbols: DataFrame) -> DataFrame:
-    """(from_file, to_file): the files whose symbols a file can name, itself among them. Repo-wide languages are left out; see in_scope.
+    """(from_file, to_file): the files whose symbols a file can name, itself among them. Repo-wide languages are left out; Rust has rows for crates instead; see in_scope.
 
     Relative imports are folded onto the file's folder; others match a file without its extension, or by any of their
     slash-suffixes a folder, or by their last part a folder's or a file's name. Suffixes are exploded, so that every rule is an equi-join.
     """
     files = symbols.select(F.col("file_path").alias("to_file"), family(F.col("language")).alias("fam")).distinct()
-    own = symbols.select(F.col("file_path").alias("from_file"), "language", family(F.col("language")).alias("fam")).distinct()
-    raw = symbols.filter(~F.col("language").isin(*REPO_WIDE, "plaintext")).select(F.col("file_path").alias("from_file"), "language", family(F.col("language")).alias("fam"), F.explode("imports").alias("imp")).distinct()
+    own = symbols.filter("language <> 'rust'").select(F.col("file_path").alias("from_file"), "language", family(F.col("language")).alias("fam")).distinct()
+    raw = symbols.filter(~F.col("language").isin(*REPO_WIDE, "plaintext", "rust")).select(F.col("file_path").alias("from_file"), "language", family(F.col("language")).alias("fam"), F.explode("imports").alias("imp")).distinct()
     here = dir_name(F.col("from_file"))
     dots = F.length(F.regexp_extract("imp", r"^(\.+)", 1))
     py_rel = F.concat_ws("/", here, F.repeat(F.lit("../"), dots - 1), F.replace(F.regexp_replace("imp", r"^\.+", ""), F.lit("."), F.lit("/")))
     relative = F.when((F.col("language") == "python") & F.col("imp").startswith("."), fold_path(py_rel)).when(F.col("imp").rlike(r"^\.\.?(/|$)"), fold_path(F.concat_ws("/", here, "imp")))
     plain = (
         F.when(F.col("language").isin("python", "java"), F.replace("imp", F.lit("."), F.lit("/")))
-        .when(F.col("language") == "rust", F.regexp_replace(F.regexp_replace("imp", r"^(crate|self|super)::", ""), "::", "/"))
         .otherwise(F.col("imp"))
     )
     imports = raw.withColumn("relative", relative).withColumn("path", F.coalesce("relative", plain))
@@ -49,7 +79,7 @@ def scope(symbols: DataFrame) -> DataFrame:
     named = files.select("to_file", "fam", bare.alias("path")).unionByName(files.select("to_file", "fam", F.regexp_replace(bare, r"/(index|__init__|mod|lib)$", "").alias("path")))
     exact = imports.withColumn("path", F.regexp_replace("path", r"\.(js|ts|jsx|tsx|mjs|cjs)$", "")).join(named, ["fam", "path"]).select("from_file", "to_file")
     # a dotted import may name a member of the file
-    member = imports.filter("relative IS NULL AND language IN ('python', 'java', 'rust')").withColumn("path", dir_name(F.col("path"))).join(named, ["fam", "path"]).select("from_file", "to_file")
+    member = imports.filter("relative IS NULL AND language IN ('python', 'java')").withColumn("path", dir_name(F.col("path"))).join(named, ["fam", "path"]).select("from_file", "to_file")
     loose = imports.filter("relative IS NULL")
     dirs = files.select("to_file", "fam", dir_name(F.col("to_file")).alias("dir"))
     by_suffix = loose.select("from_file", "fam", F.explode(suffixes(F.col("path"))).alias("dir")).join(dirs, ["fam", "dir"]).select("from_file", "to_file")
@@ -61,14 +91,17 @@ def scope(symbols: DataFrame) -> DataFrame:
     found = self_
     for part in (exact, member, by_suffix, by_dir, by_file, near):
         found = found.unionByName(part)
-    return found.distinct()
+    return found.distinct().unionByName(crate_scope(symbols))
 
 
 def in_scope(pairs: DataFrame, scope_table: DataFrame) -> DataFrame:
     """pairs (with from_file, to_file, from_language, to_language) whose target is in reach."""
     wide = F.col("from_language").isin(*REPO_WIDE)
     free = pairs.filter(wide & (family(F.col("from_language")) == family(F.col("to_language"))))
-    return free.unionByName(pairs.filter(~wide).join(scope_table, ["from_file", "to_file"], "left_semi").select(*free.columns))
+    place = lambda file, language: F.when(F.col(language) == "rust", F.concat(F.lit("crate:"), crate_root(F.col(file)))).otherwise(F.col(file))
+    near = scope_table.select(F.col("from_file").alias("_from"), F.col("to_file").alias("_to"))
+    bound = pairs.filter(~wide).withColumns({"_from": place("from_file", "from_language"), "_to": place("to_file", "to_language")}).join(near, ["_from", "_to"], "left_semi")
+    return free.unionByName(bound.select(*free.columns))
 
 
 def defines(symbols: DataFrame) -> DataFrame:

@@ -17,6 +17,11 @@ from tessera.schemas import SYMBOLS
 
 LARGEST = 10 * 1024 * 1024
 _ID = r"[A-Za-z_$][\w$]*"
+#: A type before a name, no word that begins a statement.
+_TYPE = r"(?!(?:return|new|else|throw|await|yield|case|goto|var|using|import|package)\b)[A-Za-z_][\w.]*(?:<[^()]*>)?(?:\[[\], ]*|\?)*"
+#: In these a callable's body holds no members, but types of its own.
+_CLOSED = ("java", "csharp", "php", "c", "cpp")
+_TYPES = ("class", "interface", "struct", "enum", "trait", "namespace")
 #: (kind, pattern with a group n) in order; the first that fits a line names it.
 PATTERNS: dict[str, tuple[tuple[str, str], ...]] = {
     "go": (
@@ -31,7 +36,7 @@ PATTERNS: dict[str, tuple[tuple[str, str], ...]] = {
     ),
     "java": (
         ("class", r"^\s*(?:(?:public|private|protected|static|final|abstract|sealed)\s+)*(?:class|record)\s+(?P<n>\w+)"), ("interface", r"^\s*(?:(?:public|private|protected|static|sealed)\s+)*@?interface\s+(?P<n>\w+)"), ("enum", r"^\s*(?:(?:public|private|protected|static)\s+)*enum\s+(?P<n>\w+)"),
-        ("constructor", r"^\s+(?:public|private|protected)\s+(?P<n>[A-Z]\w*)\s*\("), ("method", r"^\s+(?:(?:public|private|protected|static|final|abstract|synchronized|native|default)\s+)*(?:<[^>]+>\s+)?(?!return\b|new\b|else\b|throw\b)[\w.<>\[\],? ]+?\s+(?P<n>\w+)\s*\([^;=]*\)?\s*(?:throws [\w., ]+)?[{;]?\s*$"),
+        ("constructor", r"^\s+(?:(?:public|private|protected)\s+)?(?P<n>[A-Z]\w*)\s*\([^;{}]*\)\s*(?:throws [\w., ]+)?(?:\{.*)?\s*$"), ("method", r"^\s+(?:(?:public|private|protected|static|final|abstract|synchronized|native|default)\s+)*(?:<[^>]+>\s+)?" + _TYPE + r"\s+(?P<n>\w+)\s*\([^;=]*\)?\s*(?:throws [\w., ]+)?(?:[{;]|\{.*\})?\s*$"),
         ("field", r"^\s+(?:(?:public|private|protected|static|final|volatile)\s+)+[\w.<>\[\],? ]+?\s+(?P<n>\w+)\s*[=;]"),
     ),
     "rust": (
@@ -40,8 +45,8 @@ PATTERNS: dict[str, tuple[tuple[str, str], ...]] = {
     ),
     "csharp": (
         ("namespace", r"^\s*namespace\s+(?P<n>[\w.]+)"), ("class", r"^\s*(?:(?:public|private|protected|internal|static|sealed|abstract|partial)\s+)*(?:class|record)\s+(?P<n>\w+)"), ("interface", r"^\s*(?:(?:public|private|protected|internal|partial)\s+)*interface\s+(?P<n>\w+)"),
-        ("struct", r"^\s*(?:(?:public|private|internal|readonly|ref|partial)\s+)*struct\s+(?P<n>\w+)"), ("enum", r"^\s*(?:(?:public|private|protected|internal)\s+)*enum\s+(?P<n>\w+)"), ("constructor", r"^\s+(?:public|private|protected|internal)\s+(?P<n>[A-Z]\w*)\s*\("),
-        ("method", r"^\s+(?:(?:public|private|protected|internal|static|virtual|override|abstract|async|sealed|new|extern)\s+)*(?!return\b|new\b|else\b|throw\b|await\b)[\w.<>\[\],? ]+?\s+(?P<n>\w+)\s*(?:<[^>]+>)?\([^;=]*\)?\s*(?:where .*)?[{;]?\s*$"),
+        ("struct", r"^\s*(?:(?:public|private|internal|readonly|ref|partial)\s+)*struct\s+(?P<n>\w+)"), ("enum", r"^\s*(?:(?:public|private|protected|internal)\s+)*enum\s+(?P<n>\w+)"), ("constructor", r"^\s+(?:(?:public|private|protected|internal|static)\s+)*(?P<n>[A-Z]\w*)\s*\([^;{}]*\)\s*(?::\s*(?:base|this)\s*\(.*\)\s*)?(?:\{.*)?\s*$"),
+        ("method", r"^\s+(?:(?:public|private|protected|internal|static|virtual|override|abstract|async|sealed|new|extern)\s+)*" + _TYPE + r"\s+(?P<n>\w+)\s*(?:<[^>]+>)?\([^;=]*\)?\s*(?:where .*)?(?:[{;]|\{.*\}|=>.*)?\s*$"),
     ),
     "php": (
         ("class", r"^\s*(?:(?:abstract|final|readonly)\s+)*class\s+(?P<n>\w+)"), ("interface", r"^\s*interface\s+(?P<n>\w+)"), ("trait", r"^\s*trait\s+(?P<n>\w+)"), ("enum", r"^\s*enum\s+(?P<n>\w+)"),
@@ -49,7 +54,8 @@ PATTERNS: dict[str, tuple[tuple[str, str], ...]] = {
     ),
     "cpp": (
         ("namespace", r"^\s*namespace\s+(?P<n>[\w:]+)"), ("class", r"^\s*(?:template\s*<[^>]*>\s*)?class\s+(?P<n>\w+)\s*(?:final\s*)?(?::[^;]*)?\{?\s*$"), ("struct", r"^\s*(?:typedef\s+)?struct\s+(?P<n>\w+)\s*(?::[^;]*)?\{?\s*$"), ("enum", r"^\s*(?:typedef\s+)?enum\s+(?:class\s+)?(?P<n>\w+)"),
-        ("method", r"^[\w:<>,&*\s~]*?\b(?P<p>\w+)::(?P<n>~?\w+)\s*\([^;]*$"), ("function", r"^\s*(?:(?:static|inline|virtual|extern|constexpr|explicit|const|unsigned|friend)\s+)*(?!return\b|else\b|new\b|delete\b|throw\b|case\b|typedef\b)[A-Za-z_][\w:<>,]*[\s&*]+(?P<n>[A-Za-z_]\w*)\s*\([^;=]*\)\s*(?:const|override|noexcept|\s)*[{;]?\s*$"),
+        ("method", r"^[\w:<>,&*\s~]*?\b(?P<p>\w+)::(?P<n>~?\w+)\s*\([^;]*$"), ("function", r"^\s*(?:(?:static|inline|virtual|extern|constexpr|explicit|const|unsigned|friend)\s+)*(?!return\b|else\b|new\b|delete\b|throw\b|case\b|typedef\b)[A-Za-z_][\w:<>,]*[\s&*]+(?P<n>[A-Za-z_]\w*)\s*\([^;={}]*\)\s*(?:const|override|noexcept|final|\s)*(?:=\s*(?:0|default|delete)\s*;|[{;]|\{.*\})?\s*$"),
+        ("constructor", r"^\s+(?:(?:explicit|inline|constexpr)\s+)*(?P<n>[A-Za-z_]\w*)\s*\([^;{}]*\)\s*(?:noexcept\s*)?(?::[^{;]*)?(?:=\s*(?:default|delete)\s*;|[{;]|\{.*\})?\s*$"),
         ("const", r"^#define\s+(?P<n>\w+)"),
     ),
 }
@@ -61,7 +67,7 @@ IMPORTS = {
     "java": r"(?m)^\s*import\s+(?:static\s+)?([\w.]+)", "rust": r"(?m)^\s*(?:pub(?:\([^)]*\))?\s+)?use\s+([\w:]+)", "csharp": r"(?m)^\s*using\s+(?:static\s+)?([\w.]+)\s*;", "php": r"(?m)^\s*use\s+([\w\\]+)", "cpp": r"(?m)^\s*#\s*include\s*[<\"]([^>\"\n]+)[>\"]",
 }
 IMPORTS |= {"typescript": IMPORTS["javascript"], "tsx": IMPORTS["javascript"], "c": IMPORTS["cpp"]}
-_CALL = re.compile(r"(?<![\w$.])((?:[A-Za-z_$][\w$]*(?:\.|::|->|\?\.))*[A-Za-z_$][\w$]*)(\s*<[\w\s,.\[\]]+>)?\s*\(")
+_CALL = re.compile(r"(?:(?<![\w$.])|(?<=\)\.)|(?<=\)\?\.))((?:[A-Za-z_$][\w$]*(?:\.|::|->|\?\.))*[A-Za-z_$][\w$]*)(\s*<[\w\s,.\[\]]+>)?\s*\(")
 _CONTROL = frozenset("if for while switch catch return else match loop throw".split())
 _KEYWORDS = frozenset("if for while switch catch return function new elseif sizeof typeof await defer go match loop else func fn def class lock using foreach and or not in is isset empty array list print echo throw".split())
 
@@ -131,37 +137,66 @@ def marks_above(lines: list[str], at: int) -> list[str]:
 
 def _argument(text: str) -> str:
     text = text.strip()
+    if text in ("true", "false"):
+        return "#boolean"
     if re.fullmatch(r"[A-Za-z_$]\w*", text):
         return text
     if re.fullmatch(r"-?\d[\w.]*", text):
-        return "#number"
+        return "#" + ("long" if text[-1] in "lL" else "float" if text[-1] in "fF" and not text.startswith("0x") else "double" if "." in text else "int")
     if text[:1] in "\"'`":
-        return "#string"
+        return "#char" if re.fullmatch(r"'(?:[^'\\]|\\.)'", text) else "#String"
+    cast = re.match(r"\(\s*([A-Za-z_][\w.]*(?:\[\])?)\s*\)\s*[\w(\"']", text)
+    if cast:
+        return "#" + cast[1]
     m = re.fullmatch(r"(?:\w+[.:>-]+)*([A-Za-z_]\w*)\s*\(.*\)", text, re.S)
     return f"call:{m[1]}" if m else ""
 
 
+def _brackets(code: str) -> tuple[dict[int, int], dict[int, list[int]]]:
+    """Where each opening bracket closes, and the commas directly inside of it."""
+    close: dict[int, int] = {}
+    commas: dict[int, list[int]] = {}
+    stack: list[int] = []
+    for m in re.finditer(r"[()\[\]{},]", code):
+        c, at = m[0], m.start()
+        if c == ",":
+            if stack:
+                commas.setdefault(stack[-1], []).append(at)
+        elif c in "([{":
+            stack.append(at)
+        elif stack:
+            close[stack.pop()] = at
+    return close, commas
+
+
 def call_sites(body: str, first_line: int) -> list[dict]:
-    """Calls in a body: callee with at most one qualifier, line, arguments; comments and strings do not count."""
+    """Calls in a body: callee with at most one qualifier, line, arguments; comments and strings do not count.
+
+    The qualifier of a call on another's result is that one's name with (), as in ``make().run``.
+    """
     code = strip_code(body)
+    close, commas = _brackets(code)
+    open_of = {b: a for a, b in close.items()}
     out = []
+    line, seen = first_line, 0
     for m in _CALL.finditer(code):
         parts = re.split(r"\?\.|\.|::|->", m[1])
-        if (len(parts) == 1 and parts[0] in _KEYWORDS) or re.search(r"\b(?:func|function|def|fn)\s+(?:\([^)]*\)\s*)?$", code[: m.start()][-60:]):
+        line, seen = line + code.count("\n", seen, m.start()), m.start()
+        before = re.search(r"\)\s*(?:\?\.|\.|->|::)\s*$", code[max(0, m.start() - 40) : m.start()])
+        if (len(parts) == 1 and parts[0] in _KEYWORDS and not before) or re.search(r"\b(?:func|function|def|fn)\s+(?:\([^)]*\)\s*)?$", code[max(0, m.start() - 60) : m.start()]):
             continue
-        depth, args, begin, end = 1, [], m.end(), m.end()
-        for end in range(m.end(), min(len(code), m.end() + 2000)):
-            c = code[end]
-            depth += (c in "([{") - (c in ")]}")
-            if depth == 0:
-                break
-            if c == "," and depth == 1:
-                args.append(body[begin:end])
-                begin = end + 1
-        if body[begin:end].strip():
-            args.append(body[begin:end])
+        begin = m.end()
+        end = close.get(begin - 1, len(code))
+        cuts = [begin, *(c + 1 for c in commas.get(begin - 1, ())), end + 1]
+        args = [body[a : b - 1] for a, b in zip(cuts, cuts[1:])]
+        if not args[-1].strip():
+            args.pop()
+        if len(parts) == 1 and before:
+            at = open_of.get(max(0, m.start() - 40) + before.start())
+            maker = re.search(r"([A-Za-z_$][\w$]*)\s*(?:<[\w\s,.\[\]]+>)?\s*$", code[max(0, at - 120) : at]) if at is not None else None
+            parts.insert(0, f"{maker[1]}()" if maker else "?")
         callee = ".".join(parts[-2:]) if len(parts) > 1 and parts[-2] else parts[-1]
-        out.append({"callee": callee, "line": first_line + code.count("\n", 0, m.start()), "argc": len(args), "args": [_argument(a) for a in args], "generic": bool(m[2])})
+        out.append({"callee": callee, "line": line, "argc": len(args), "args": [_argument(a) for a in args], "generic": bool(m[2])})
     return out
 
 
@@ -172,6 +207,8 @@ def imports_of(text: str, language: str) -> list[str]:
     if language == "go":
         text = "\n".join(re.findall(r"(?ms)^import\s*\((.*?)^\)", text) + re.findall(r"(?m)^import\s+(?:\w+\s+)?(\"[^\"]+\")", text))
     found = [x if isinstance(x, str) else next(filter(None, x), "") for x in re.findall(IMPORTS[language], text)]
+    if language == "rust":  # what is exported again is marked
+        found = [f"pub use {m[2]}" if m[1] else m[2] for m in re.finditer(r"(?m)^\s*(pub(?:\([^)]*\))?\s+)?use\s+([\w:]+)", text)]
     return list(dict.fromkeys(x for x in found if x))
 
 
@@ -200,17 +237,28 @@ def by_patterns(path: str, sha: str, language: str, text: str) -> list[dict]:
             continue
         if i <= skip:
             continue
+        block = re.match(r"^(const|var)\s*\(\s*$", line) if language == "go" else None
+        if block:
+            last = next((j for j in range(i + 1, len(code)) if code[j].startswith(")")), len(code))
+            for j in range(i + 1, last):
+                entry = re.match(r"^(?:\t| {1,8})([A-Za-z_]\w*)", code[j])
+                if entry:
+                    out.append(_symbol(path, sha, language, "const" if block[1] == "const" else "variable", entry[1], "", lines[j], preceding_doc(lines, j), j + 1, j + 1, lines[j], imports))
+            skip = last
+            continue
+        owners = [o for o in owners if o[0] >= i]
         for kind, pattern in _COMPILED[language]:
             m = pattern.match(line)
-            if m:
+            if m and (kind != "constructor" or language not in ("java", "csharp", "cpp", "c") or owners and m["n"] == owners[-1][1]):
                 break
         else:
             continue
         name = m["n"]
         if name in _CONTROL:
             continue
+        if language in _CLOSED and owners and owners[-1][2] in ("function", "method", "constructor") and kind not in _TYPES:
+            continue  # a statement of the body
         end = indent_end(lines, i) if language == "python" else brace_end(code, i)
-        owners = [o for o in owners if o[0] >= i]
         parent = (m.groupdict().get("p") or "") or (owners[-1][1] if owners and owners[-1][2] not in ("namespace", "module", "function", "method", "constructor") else "")
         if parent and kind == "function":
             kind = "method"
@@ -222,8 +270,8 @@ def by_patterns(path: str, sha: str, language: str, text: str) -> list[dict]:
             kind = "constructor"
         raw = "\n".join(lines[i : end + 1])
         callable_ = kind in ("function", "method", "constructor")
-        inner = raw.split("{", 1)
-        sites = call_sites(raw if len(inner) < 2 else " " * len(re.sub(r"[^\n]", "", inner[0])) + "\n" * inner[0].count("\n") + inner[1], i + 1) if callable_ and language != "python" else []
+        inner = re.split(r"\{|=>", raw, maxsplit=1) if callable_ and language != "python" else [raw]
+        sites = call_sites(inner[1], i + 1 + inner[0].count("\n")) if len(inner) > 1 else []
         tp = re.search(re.escape(name) + r"\s*(?:<([^>()]*)>|\[([A-Z]\w* [^\]]*)\])", line)
         out.append(_symbol(path, sha, language, kind, name, parent, lines[i].split("{")[0], preceding_doc(lines, i), i + 1, end + 1, raw, imports,
             modifiers=re.findall(r"\b(public|private|protected|internal|static|final|abstract|async|override|virtual|readonly|pub|unsafe)\b", line.split("(")[0]),
@@ -232,12 +280,50 @@ def by_patterns(path: str, sha: str, language: str, text: str) -> list[dict]:
             owners.append((end, name, kind))
         elif language == "go" and callable_:
             skip = end
+        elif language in _CLOSED and callable_ and end > i:
+            owners.append((end, name, kind))
+    if language == "python":
+        for s in out:
+            s["call_sites"] = None  # not looked for; see body_words
     return out
 
 
-def by_python_parser(path: str, sha: str, text: str) -> list[dict]:
-    """Symbols of Python by its own parser; raises SyntaxError."""
-    tree = ast.parse(text)
+def parses(language: str, text: str) -> bool:
+    """Whether the text is well-formed: for Python by its parser, else by brackets that match outside comments and strings."""
+    if language == "python":
+        try:
+            ast.parse(text)
+        except (SyntaxError, ValueError, RecursionError):
+            return False
+        return True
+    stack: list[str] = []
+    for c in re.findall(r"[()\[\]{}]", strip_code(text)):
+        if c in "([{":
+            stack.append({"(": ")", "[": "]", "{": "}"}[c])
+        elif not stack or stack.pop() != c:
+            return False
+    return not stack
+
+
+def sound_part(text: str) -> ast.Module:
+    """The top-level statements of a broken Python text that parse by themselves, at their lines."""
+    lines = text.split("\n")
+    starts = [i for i, x in enumerate(lines) if re.match(r"[^\s#)\]}]", x) and not re.match(r"(?:else|elif|except|finally)\b", x)]
+    starts = [i for k, i in enumerate(starts) if not (k and lines[starts[k - 1]].startswith("@"))]
+    body: list[ast.stmt] = []
+    for a, b in zip(starts, [*starts[1:], len(lines)]):
+        try:
+            part = ast.parse("\n".join(lines[a:b]))
+        except (SyntaxError, ValueError, RecursionError):
+            continue
+        ast.increment_lineno(part, a)
+        body += part.body
+    return ast.Module(body=body, type_ignores=[])
+
+
+def by_python_parser(path: str, sha: str, text: str, tree: ast.Module | None = None) -> list[dict]:
+    """Symbols of Python by its own parser; raises SyntaxError unless the tree is given."""
+    tree = tree or ast.parse(text)
     lines = text.split("\n")
     imports: list[str] = []
     for node in ast.walk(tree):
@@ -319,7 +405,10 @@ def document(path: str, sha: str, text: str) -> dict:
 
 
 def extract(path: str, language: str, content: bytes) -> list[dict]:
-    """The symbols of one file. Python that does not parse falls to patterns; ids that clash get #2, #3 ... in order."""
+    """The symbols of one file; ids that clash get #2, #3 ... in order.
+
+    Of Python that does not parse come the statements that do, and by patterns the symbols of other names.
+    """
     sha = hashlib.sha1(content).hexdigest()
     text = content.decode("utf-8", "replace").replace("\r\n", "\n")
     if language == "plaintext":
@@ -328,7 +417,9 @@ def extract(path: str, language: str, content: bytes) -> list[dict]:
         try:
             found = by_python_parser(path, sha, text)
         except (SyntaxError, ValueError, RecursionError):
-            found = by_patterns(path, sha, language, text)
+            found = by_python_parser(path, sha, text, sound_part(text))
+            known = {s["name"] for s in found}
+            found += [s for s in by_patterns(path, sha, language, text) if s["name"] not in known]
     elif language in PATTERNS:
         found = by_patterns(path, sha, language, text)
     else:

@@ -6,16 +6,21 @@ split into words once and the words joined to the types' names, so no callable m
 
 from __future__ import annotations
 
+import ast
+from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
 from typing import Protocol
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import base_name, dir_name, fold_path
 from tessera.operators.calls import stripped
 from tessera.operators.edges import edge, family, inheritance
+from tessera.operators.intervals import tightest
+from tessera.runtime import ship
 from tessera.schemas import CALLABLE, TYPE_LIKE
 from tessera.sources import scan
 
@@ -48,7 +53,7 @@ def named_types(symbols: DataFrame, languages: tuple[str, ...], in_signature: fl
 def declared_bases(symbols: DataFrame, languages: tuple[str, ...], confidence: float) -> DataFrame:
     """extends and implements of these languages; for C# and PHP the list after the colon, and extends, implements and use."""
     own = symbols.filter(F.col("language").isin(*languages))
-    known = inheritance(symbols).join(own.select(F.col("id").alias("src")), "src", "left_semi").withColumns({"confidence": F.lit(confidence), "source": F.lit("native"), "reason": F.lit("declared")})
+    known = inheritance(symbols).join(own.select(F.col("id").alias("src")), "src", "left_semi").join(own.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", "type", "confidence", "source", "reason").withColumns({"confidence": F.lit(confidence), "source": F.lit("native"), "reason": F.lit("declared")})
     sig, body = F.col("signature"), F.col("raw_text")
     cut = lambda text: F.filter(F.transform(F.split(text, ","), lambda x: F.element_at(F.split(F.regexp_extract(F.trim(x), r"^([\w.\\]+)", 1), r"[.\\]"), -1)), lambda x: x != "")
     colon = cut(F.regexp_extract(sig, r"\b(?:class|interface|struct|record)\s+\w+(?:<[^>]*>)?[^:{]*:\s*([^{]+?)(?:\s+where\b|\s*\{|$)", 1))
@@ -132,6 +137,14 @@ class CFamily(Lexical):
         return _file_edges(beside.unionByName(below).unionByName(quoted.select("from_file", fold_path(F.col("inc")).alias("to_file"))).join(_paths(files).select("to_file"), "to_file", "left_semi"), 0.95)
 
 
+def quoted_includes(files: DataFrame) -> DataFrame:
+    """imports edges of includes that name a file next to the including one."""
+    own = files.filter(F.col("language").isin("c", "cpp"))
+    quoted = own.select(F.col("path").alias("from_file"), F.explode(F.regexp_extract_all(F.decode("content", "UTF-8"), F.lit(r"(?m)^\s*#\s*include\s*\"([^\"]+)\""), 1)).alias("inc"))
+    beside = quoted.select("from_file", fold_path(F.concat_ws("/", F.nullif(dir_name(F.col("from_file")), F.lit("")), "inc")).alias("to_file"))
+    return _file_edges(beside.join(_paths(files).select("to_file"), "to_file", "left_semi"), 0.95)
+
+
 class CSharp(Lexical):
     """Files of a project import those of the projects that it refers to."""
 
@@ -163,15 +176,58 @@ class Php(Lexical):
         return _file_edges(one.select("from_file", fold_path(path).alias("to_file")).join(_paths(files).select("to_file"), "to_file", "left_semi"), 0.94)
 
 
+def _bound_calls(path: str, text: str) -> list[tuple[str, int, str, str]]:
+    """(path, line, module or file, name) of calls of bare names that a from-import or a definition of the file itself binds; nothing is imported to tell."""
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError):
+        return []
+    bound: dict[str, tuple[str, str]] = {}
+    for node in ast.walk(tree):
+        if isinstance(node, ast.ImportFrom):
+            up = path.split("/")[: -node.level] if node.level else []
+            module = "/".join([*up, *filter(None, (node.module or "").split("."))])
+            bound |= {a.asname or a.name: (module, a.name) for a in node.names}
+    bound |= {x.name: (path, x.name) for x in tree.body if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))}
+    return [(path, n.lineno, *bound[n.func.id]) for n in ast.walk(tree) if isinstance(n, ast.Call) and isinstance(n.func, ast.Name) and n.func.id in bound]
+
+
+def python_calls(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """calls of Python functions whose name is bound to exactly one definition: from the innermost callable around the call to the function, or to the class's __init__."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [r for p, c in zip(*(x.to_pylist() for x in batch.columns)) if c is not None for r in _bound_calls(p, bytes(c).decode("utf-8", "replace"))]
+            columns = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.string()))], names=["from_file", "line", "module", "name"])
+
+    ship(files.sparkSession)
+    bound = files.filter("language = 'python'").select("path", "content").mapInArrow(run, "from_file string, line int, module string, name string")
+    own = symbols.filter("language = 'python'")
+    places = F.array(F.col("module"), F.concat("module", F.lit(".py")), F.concat("module", F.lit("/__init__.py")))
+    aims = bound.select("from_file", "line", "name", F.explode(places).alias("to_file"))
+    functions = own.filter("kind = 'function'").select(F.col("id").alias("dst"), F.col("file_path").alias("to_file"), "name")
+    classes = own.filter("kind = 'constructor'").select(F.col("id").alias("dst"), F.col("file_path").alias("to_file"), F.col("parent_symbol").alias("name"))
+    hits = aims.join(functions.unionByName(classes), ["to_file", "name"])
+    callers = own.filter(F.col("kind").isin(*CALLABLE)).select(F.col("id").alias("src"), F.col("file_path").alias("from_file"), F.col("span.start").alias("low"), F.col("span.end").alias("high"))
+    inside = tightest(hits.select("from_file", "line", "dst"), callers, "from_file", "line", ("low", "high"), ["from_file", "line", "dst"], "src")
+    return edge(inside.filter("src <> dst").select("src", "dst").distinct(), "calls", 0.98, "native", "ast")
+
+
 class Python(Lexical):
-    """Dotted modules that are files of the tree."""
+    """Dotted modules that are files of the tree, and calls of names that are bound."""
 
     def imports(self, symbols, files):
-        raw = symbols.filter("language = 'python'").select(F.col("file_path").alias("from_file"), F.explode("imports").alias("imp")).distinct().filter(~F.col("imp").startswith("."))
-        module = F.replace("imp", F.lit("."), F.lit("/"))
+        raw = symbols.filter("language = 'python'").select(F.col("file_path").alias("from_file"), F.explode("imports").alias("imp")).distinct()
+        dots = F.length(F.regexp_extract("imp", r"^(\.*)", 1))
+        rest = F.replace(F.regexp_replace("imp", r"^\.+", ""), F.lit("."), F.lit("/"))
+        module = F.when(dots > 0, fold_path(F.concat_ws("/", dir_name(F.col("from_file")), F.repeat(F.lit("../"), dots - 1), rest))).otherwise(rest)
         tries = F.array(*(F.concat(m, F.lit(end)) for m in (module, dir_name(module)) for end in (".py", "/__init__.py")))
         return _file_edges(raw.select("from_file", F.explode(tries).alias("to_file")).join(_paths(files).select("to_file"), "to_file", "left_semi"), 0.94)
 
+    def analyze(self, symbols, files):
+        return super().analyze(symbols, files).unionByName(python_calls(symbols, files))
+
 
 def defaults() -> list[Analyzer]:
     """One analyzer for each language that has one."""

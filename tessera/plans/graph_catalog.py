@@ -117,13 +117,13 @@ def reach_all_seeds_d2(spark, sf_dir):
 
 @query(f"""
 WITH {EDGES_SQL}, used AS (SELECT src, dst, max(confidence) AS c FROM edges WHERE type IN ({_IMPACT_IN}) GROUP BY 1, 2),
-p0 AS (SELECT 'n' || n_nationkey AS seed, 'n' || n_nationkey AS node, 1.0::DOUBLE AS product FROM nation WHERE n_nationkey < 5),
+p0 AS (SELECT 'n' || n_nationkey AS seed, 'n' || n_nationkey AS node, 1.0::DOUBLE AS product FROM nation),
 p1 AS (SELECT seed, src AS node, max(product * c) AS product FROM p0 JOIN used ON dst = node WHERE product * c >= 0.6 GROUP BY 1, 2),
 p2 AS (SELECT seed, src AS node, max(product * c) AS product FROM p1 JOIN used ON dst = node WHERE product * c >= 0.6 GROUP BY 1, 2),
 p3 AS (SELECT seed, src AS node, max(product * c) AS product FROM p2 JOIN used ON dst = node WHERE product * c >= 0.6 GROUP BY 1, 2)
 SELECT seed, node, round(max(product), 6) AS product FROM (FROM p0 UNION ALL FROM p1 UNION ALL FROM p2 UNION ALL FROM p3) GROUP BY 1, 2""")
 def reach_max_product(spark, sf_dir):
-    seeds = table(spark, sf_dir, "nation").filter("n_nationkey < 5").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node"))
+    seeds = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node"))
     used = edges(spark, sf_dir).filter(F.col("type").isin(*IMPACT_TYPES))
     return traverse.best_product(used, seeds, 0.6, 3).select("seed", "node", F.round("product", 6).alias("product"))
 
@@ -209,10 +209,13 @@ def edge_diff_sync(spark, sf_dir):
     return merge.sync(row(o.filter("o_orderpriority <> '5-LOW'"), F.lit(0.9)), row(o.filter("o_orderpriority <> '1-URGENT'"), F.when(F.col("o_orderstatus") == "P", 0.95).otherwise(0.9)))
 
 
-@query("SELECT DISTINCT 'c' || c_custkey AS file_path FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT 'p' || p_partkey AS file_path FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 25)")
 def stale_files(spark, sf_dir):
-    manifest = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
-    return manifest.join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), "k", "left_anti").select(F.concat(F.lit("c"), F.col("k").cast("string")).alias("file_path")).distinct()
+    from tessera.sources.store import vanished_files
+
+    key = lambda c: F.concat(F.lit("p"), F.col(c).cast("string")).alias("file_path")
+    now = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'A' AND l_quantity > 25").select(key("l_partkey"))
+    return vanished_files(now, table(spark, sf_dir, "part").select(key("p_partkey")))
 
 
 @query("SELECT doc_id, CASE WHEN lang = 'fr' THEN 'new' ELSE 'changed' END AS state FROM documents WHERE lang = 'fr' OR source = 'src1'")
@@ -316,42 +319,6 @@ def receiver_narrowing(spark, sf_dir):
     return prefer(_candidates(spark, sf_dir), ["site"], own).select("site", "target").distinct()
 
 
-@query("""
-WITH scope AS (SELECT DISTINCT s_nationkey AS a, c_nationkey AS b FROM supplier JOIN customer ON (s_suppkey + c_custkey) % 11 = 0),
-pairs AS (SELECT l_orderkey, s_nationkey AS a, c_nationkey AS b FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey)
-SELECT a, count(*) AS in_scope FROM pairs p WHERE EXISTS (SELECT 1 FROM scope s WHERE s.a = p.a AND s.b = p.b AND p.a <> p.b) GROUP BY a""")
-def scope_semi_join(spark, sf_dir):
-    t = lambda n: table(spark, sf_dir, n)
-    residue = lambda k: F.pmod(F.col(k), F.lit(11))
-    scope = t("supplier").select(F.col("s_nationkey").alias("a"), residue("s_suppkey").alias("r")).distinct().join(t("customer").select(F.col("c_nationkey").alias("b"), F.pmod(-F.col("c_custkey"), F.lit(11)).alias("r")).distinct(), "r").select("a", "b").distinct()
-    pairs = t("lineitem").join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(t("customer"), F.col("c_custkey") == F.col("o_custkey")).join(t("supplier"), F.col("s_suppkey") == F.col("l_suppkey")).select(F.col("s_nationkey").alias("a"), F.col("c_nationkey").alias("b"))
-    return pairs.filter("a <> b").join(scope, ["a", "b"], "left_semi").groupBy("a").agg(F.count("*").alias("in_scope"))
-
-
-@query("""
-WITH ifaces AS (SELECT DISTINCT p_type AS iface, p_name AS m FROM part WHERE p_size = 10), impls AS (SELECT p_brand AS owner, p_name AS m, p_partkey AS target FROM part WHERE p_size > 10)
-SELECT DISTINCT i.iface, x.owner, x.target, 0.7::DOUBLE AS confidence, 'dispatch' AS reason FROM ifaces i JOIN impls x ON x.m = i.m""")
-def dispatch_rescue(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    ifaces = p.filter("p_size = 10").select(F.col("p_type").alias("iface"), F.col("p_name").alias("m"))
-    impls = p.filter("p_size > 10").select(F.col("p_brand").alias("owner"), F.col("p_name").alias("m"), F.col("p_partkey").alias("target"))
-    return ifaces.join(impls, "m").select("iface", "owner", "target", F.lit(0.7).alias("confidence"), F.lit("dispatch").alias("reason")).distinct()
-
-
-@query("""
-WITH marked AS (SELECT p_partkey AS wrapped, right('0000' || p_partkey, 5) AS mark FROM part), wrappers AS (SELECT c_custkey AS wrapper, right(c_name, 5) AS mark FROM customer UNION ALL SELECT -1 - s_suppkey, right(s_name, 5) FROM supplier),
-hits AS (SELECT wrapped, wrapper, count(*) OVER (PARTITION BY wrapped) AS n FROM marked JOIN wrappers USING (mark)), one AS (SELECT wrapped, wrapper FROM hits WHERE n = 1)
-SELECT wrapper AS src, wrapped AS dst, 0.7::DOUBLE AS confidence FROM one UNION ALL SELECT DISTINCT l_orderkey, wrapper, 0.7 FROM lineitem JOIN one ON l_partkey = wrapped""")
-def decorator_supplement(spark, sf_dir):
-    t = lambda n: table(spark, sf_dir, n)
-    mark = lambda c: F.expr(f"right({c}, 5)").alias("mark")
-    wrappers = t("customer").select(F.col("c_custkey").alias("wrapper"), mark("c_name")).unionByName(t("supplier").select((-1 - F.col("s_suppkey")).alias("wrapper"), mark("s_name")))
-    marked = t("part").select(F.col("p_partkey").alias("wrapped"), mark("concat('0000', p_partkey)"))
-    one = marked.join(wrappers, "mark").groupBy("wrapped").agg(F.count("*").alias("n"), F.min("wrapper").alias("wrapper")).filter("n = 1").drop("n")
-    callers = t("lineitem").join(one, F.col("l_partkey") == F.col("wrapped")).select(F.col("l_orderkey").alias("src"), F.col("wrapper").alias("dst")).distinct()
-    return one.select(F.col("wrapper").alias("src"), F.col("wrapped").alias("dst")).unionByName(callers).withColumn("confidence", F.lit(0.7))
-
-
 @query(f"""
 WITH {SYMBOLS_SQL} SELECT a.id AS src, b.id AS dst, 'contains' AS type, 1.0::DOUBLE AS confidence FROM symbols a JOIN symbols b
 ON a.file_path = b.file_path AND a.name = b.name AND a.parent_symbol = b.parent_symbol AND a.kind = 'class' AND a.id <> b.id""")

@@ -13,7 +13,8 @@ from tessera.plans.registry import query
 from tessera.sources.driver_tables import EDGES_SQL, SNAPSHOTS_SQL, SYMBOLS_SQL, edges, flat, snapshots, symbols, table
 from tessera.sources.scan import is_ignored
 
-_STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+_STOP = """'the', 'a', 'an', 'is', 'of', 'for', 'to', 'in', 'and', 'or', 'with', 'this', 'that', 'be', 'on', 'as', 'it', 'func', 'function', 'method', 'class', 'struct', 'return', 'returns', 'var', 'let', 'const',
+  'void', 'int', 'str', 'string', 'bool', 'true', 'false', 'null', 'none', 'self'"""
 
 
 def _tokens_sql(text: str) -> str:
@@ -31,12 +32,12 @@ def _doc_text():
     return F.concat_ws(" ", "name", "qualified_name", "signature", "docstring", "parent_symbol")
 
 
-_NAMED = "c_name || ' getUserByIDv2 ' || c_mktsegment || 'ParseHTTPRequest2 the_file'"
+_NAMED = "c_name || ' getUserByIDv2 ' || c_mktsegment || 'ParseHTTPRequest2 the_file method struct void int str string bool true false null none by are at its from if then else not no def self isA'"
 
 
 @query(f"SELECT c_custkey, array_to_string({_tokens_sql(_NAMED)}, '|') AS tokens FROM customer")
 def tokenizer_camel(spark, sf_dir):
-    t = F.concat(F.col("c_name"), F.lit(" getUserByIDv2 "), F.col("c_mktsegment"), F.lit("ParseHTTPRequest2 the_file"))
+    t = F.concat(F.col("c_name"), F.lit(" getUserByIDv2 "), F.col("c_mktsegment"), F.lit("ParseHTTPRequest2 the_file method struct void int str string bool true false null none by are at its from if then else not no def self isA"))
     return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(T.camel_tokens(t), "|").alias("tokens"))
 
 
@@ -87,15 +88,16 @@ def l2_normalize(spark, sf_dir):
 
 @query(f"""
 WITH {SYMBOLS_SQL}, semantic AS (SELECT 'p' || vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], {_Q_SQL}) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 12),
-lex AS (SELECT id, 100 AS rank, file_path || '|' || lpad(span_start::VARCHAR, 9, '0') AS place FROM symbols WHERE lower(name) = 'red_widget'),
+ranked AS (SELECT *, CASE WHEN lower(name) = 'red_widget' THEN 100 WHEN lower(qualified_name) = 'red_widget' THEN 90 WHEN starts_with(lower(name), 'red_widget') THEN 80
+  WHEN contains(lower(name), 'red_widget') THEN 70 WHEN contains(lower(qualified_name), 'red_widget') THEN 60 WHEN contains(lower(file_path), 'red_widget') OR contains(lower(signature), 'red_widget') THEN 40 END AS rank FROM symbols),
+lex AS (SELECT id, rank, file_path || '|' || lpad(span_start::VARCHAR, 9, '0') AS place FROM ranked WHERE rank IS NOT NULL ORDER BY rank DESC, file_path, span_start, id LIMIT 40),
 every AS (SELECT id, 0 AS tier, -round(score, 6) AS sort_by, id AS tie FROM semantic UNION ALL SELECT id, 1, -rank, place FROM lex WHERE id NOT IN (SELECT id FROM semantic))
 SELECT id, tier FROM every ORDER BY tier, sort_by, tie, id LIMIT 25""")
 def hybrid_query(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
     found = search.cosine_top(v, _Q, 12, "vec_id", "embedding", positive=False).select(F.concat(F.lit("p"), F.col("vec_id").cast("string")).alias("id"), F.round("score", 6).alias("score"))
-    s = flat(symbols(spark, sf_dir)).filter("lower(name) = 'red_widget'")
-    lex = s.select("id", F.lit(100).alias("rank"), F.concat_ws("|", "file_path", F.lpad(F.col("span_start").cast("string"), 9, "0")).alias("place"))
-    return search.hybrid(found, lex, 25)
+    hits = search.lexical(symbols(spark, sf_dir), "Red_Widget", 40)
+    return search.hybrid(found, hits.select("id", "rank", F.concat_ws("|", "file_path", F.lpad(F.col("span.start").cast("string"), 9, "0")).alias("place")), 25)
 
 
 @query(f"""
@@ -120,8 +122,8 @@ SELECT (SELECT count(*) FROM a WHERE id IN (SELECT id FROM b)) AS symbols, array
   EXISTS (SELECT 1 FROM a WHERE id IN (SELECT id FROM b) OR file_path IN (SELECT file_path FROM b)) AS conflict""")
 def icr_conflict(spark, sf_dir):
     s = symbols(spark, sf_dir)
-    none = edges(spark, sf_dir).limit(0)
-    found = region.conflicts(region.isolated_region(s, none, "red_widget"), region.isolated_region(s, none, "red_ring"))
+    e = edges(spark, sf_dir)
+    found = region.conflicts(region.isolated_region(s, e, "red_widget"), region.isolated_region(s, e, "red_ring"))
     return found.select(F.size("symbols").cast("long").alias("symbols"), F.nullif(F.array_join("files", ","), F.lit("")).alias("files"), "conflict")
 
 
@@ -191,14 +193,10 @@ def snapshot_diff_breaking(spark, sf_dir):
     return _changes(spark, sf_dir).filter("breaking").groupBy("change").agg(F.count("*").alias("n"))
 
 
-@query(f"""
-WITH {SNAPSHOTS_SQL}, b AS (SELECT *, row_number() OVER (PARTITION BY file_path, qualified_name, kind ORDER BY span_start, id) AS n FROM before), a AS (SELECT *, row_number() OVER (PARTITION BY file_path, qualified_name, kind ORDER BY span_start, id) AS n FROM after)
-SELECT b.id AS before_id, a.id AS after_id FROM b JOIN a ON b.file_path = a.file_path AND b.qualified_name = a.qualified_name AND b.kind = a.kind AND b.n = a.n WHERE b.id <> a.id""")
+@query(f"WITH {_DIFF_SQL} SELECT before_id, after_id FROM changes WHERE change = 'changed' AND before_id <> after_id")
 def overload_pairing(spark, sf_dir):
-    before, after = snapshots(spark, sf_dir)
-    order = Window.partitionBy(*snapshot.IDENTITY).orderBy("span.start", "id")
-    side = lambda df, name: df.withColumn("n", F.row_number().over(order)).select(*snapshot.IDENTITY, "n", F.col("id").alias(name))
-    return side(before, "before_id").join(side(after, "after_id"), [*snapshot.IDENTITY, "n"]).filter("before_id <> after_id").select("before_id", "after_id")
+    """Symbols alike in file, qualified name and kind are paired by their order, so that changes tell of pairs with other ids."""
+    return _changes(spark, sf_dir).filter("change = 'changed' AND before.id <> after.id").select(F.col("before.id").alias("before_id"), F.col("after.id").alias("after_id"))
 
 
 _KEYED = f"""
@@ -216,11 +214,16 @@ def rename_exact(spark, sf_dir):
 
 @query("""
 WITH gone AS (SELECT p_type || p_size AS key, p_partkey AS k FROM part WHERE p_brand < 'Brand#17'), new AS (SELECT p_type || p_size AS key, p_partkey AS k FROM part WHERE p_brand >= 'Brand#17')
-SELECT g.key, count(*) AS pairs, count(DISTINCT g.k) = 1 AND count(DISTINCT n.k) = 1 AS certain FROM gone g JOIN new n USING (key) GROUP BY g.key""")
+SELECT g.k AS before_key, n.k AS after_key FROM gone g JOIN new n USING (key) WHERE (SELECT count(*) FROM gone x WHERE x.key = g.key) = 1 AND (SELECT count(*) FROM new x WHERE x.key = g.key) = 1""")
 def rename_ambiguous(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.concat("p_type", F.col("p_size").cast("string")).alias("key"), F.col("p_partkey").alias("k"), "p_brand")
-    pairs = p.filter("p_brand < 'Brand#17'").select("key", "k").join(p.filter("p_brand >= 'Brand#17'").select("key", F.col("k").alias("k2")), "key")
-    return pairs.groupBy("key").agg(F.count("*").alias("pairs"), ((F.countDistinct("k") == 1) & (F.countDistinct("k2") == 1)).alias("certain"))
+    """Of removed and added symbols of one text only those without a second on either side are renames."""
+    name = F.concat(F.lit("fn"), F.col("p_partkey").cast("string"))
+    text = F.concat(F.lit("def "), name, F.lit("(): return make('"), "p_type", F.col("p_size").cast("string"), F.lit("')"))
+    p = table(spark, sf_dir, "part").select("p_brand", F.struct(F.col("p_partkey").alias("id"), F.lit("function").alias("kind"), name.alias("name"), text.alias("raw_text")).alias("s"))
+    none = F.lit(None).cast(p.schema["s"].dataType)
+    gone = F.col("p_brand") < "Brand#17"
+    changes = p.select(F.when(gone, "removed").otherwise("added").alias("change"), F.when(gone, F.col("s")).otherwise(none).alias("before"), F.when(~gone, F.col("s")).otherwise(none).alias("after"))
+    return snapshot.exact_renames(changes).select(F.col("before.id").alias("before_key"), F.col("after.id").alias("after_key"))
 
 
 @query("""
@@ -322,30 +325,82 @@ def match_declarations(spark, sf_dir):
     return tightest(d, v, "source", "line", ("a", "b"), ["doc_id"], "vec_id").select("vec_id", "doc_id")
 
 
-def _paths(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    ext = F.element_at(F.array(*(F.lit(x) for x in ("py", "go", "ts", "java", "rs", "PY", "md", "exe"))), (F.col("doc_id") % 8 + 1).cast("int"))
-    folder = F.element_at(F.array(*(F.lit(x) for x in ("src", "tests", "node_modules/x", "lib/__tests__"))), (F.col("n_chars") % 4 + 1).cast("int"))
-    name = F.element_at(F.array(*(F.lit(x) for x in ("main", "user_test", "test_user", "my_secrets", ".env"))), (F.col("n_chars") % 5 + 1).cast("int"))
-    return d.select("doc_id", F.concat(folder, F.lit("/"), name, F.lit("."), ext).alias("path"), "text")
+#: (path, language, sensitive, in a pruned folder, test) as the rules have them, entry by entry.
+_PLACES = [
+    *((f"src/a.{e}", lang, False, False, False) for lang, ends in (
+        ("go", "go"), ("python", "py"), ("javascript", "js jsx mjs cjs"), ("typescript", "ts"), ("tsx", "tsx"), ("java", "java"), ("rust", "rs"), ("c", "c h"), ("cpp", "cc cpp cxx c++ hh hpp hxx"), ("csharp", "cs"),
+        ("php", "php php3 php4 php5 phtml"), ("plaintext", "md mdx markdown yaml yml json xml sh bash zsh fish toml ini cfg conf txt proto sql graphql gql csv"), (None, "pyi mts cts rst html css exe PY Go lock"),
+    ) for e in ends.split()),
+    *((f"d/{n}", "plaintext", False, False, False) for n in "Makefile GNUmakefile makefile Dockerfile Containerfile .dockerignore .gitattributes .editorconfig .eslintignore .prettierignore .nvmrc .node-version .python-version".split()),
+    (".gitignore", "plaintext", True, False, False), ("LICENSE", None, False, False, False), ("README", None, False, False, False), ("d/makeFile", None, False, False, False),
+    *((f"c/{n}", None, True, False, False) for n in ".env .envrc .npmrc .pypirc .netrc credentials prod.env .env.local my.ENV server.key a.pem a.crt a.cer a.p12 a.pfx a.jks a.keystore a.pkcs12 A.PEM top_secret".split()),
+    ("c/credentials.json", "plaintext", True, False, False), ("c/secrets.yaml", "plaintext", True, False, False), ("c/Secrets.yml", "plaintext", True, False, False), ("c/mycredentials.go", "go", True, False, False), ("secret/a.go", "go", False, False, False), ("c/environment.ts", "typescript", False, False, False),
+    *((f"x/{d}/a.go", "go", False, True, False) for d in ".git .cache .venv .tox .next .idea node_modules vendor dist bin __pycache__ target coverage .pytest_cache .mypy_cache .ruff_cache".split()),
+    *((f"x/{d}/a.go", "go", False, False, False) for d in "build out venv .hg .svn .vscode .gradle Bin distribution".split()), ("bin", None, False, False, False), ("vendor/lib/a.py", "python", False, True, False),
+    *((p, g, False, False, True) for p, g in (("a_test.go", "go"), ("p/test_a.py", "python"), ("p/a_test.py", "python"), ("w/a.test.ts", "typescript"), ("w/a.spec.ts", "typescript"), ("w/a.test.tsx", "tsx"), ("w/a.spec.tsx", "tsx"), ("w/a.test.js", "javascript"), ("w/a.spec.js", "javascript"),
+      ("w/a.test.jsx", "javascript"), ("w/a.spec.jsx", "javascript"), ("j/FooTest.java", "java"), ("j/FooSpec.java", "java"), ("n/FooTests.cs", "csharp"), ("n/FooTest.cs", "csharp"), ("h/FooTest.php", "php"), ("tests/a.rs", "rust"), ("src/test/java/A.java", "java"), ("w/__tests__/a.js", "javascript"), ("P/TEST_A.py", "python"))),
+    *((p, g, False, False, False) for p, g in (("src/Latest.java", "java"), ("lib/contest.php", "php"), ("Tests/a.go", "go"), ("testing/a.go", "go"), ("j/FooTests.java", "java"), ("p/testa.py", "python"), ("w/a.test.mjs", "javascript"), ("r/a_test.rs", "rust"), ("test.go", "go"))),
+]
 
 
-_PATHS_SQL = """paths AS (SELECT doc_id, text, ['src', 'tests', 'node_modules/x', 'lib/__tests__'][n_chars % 4 + 1] || '/' || ['main', 'user_test', 'test_user', 'my_secrets', '.env'][n_chars % 5 + 1] || '.' || ['py', 'go', 'ts', 'java', 'rs', 'PY', 'md', 'exe'][doc_id % 8 + 1] AS path FROM documents)"""
+def _places(spark, sf_dir):
+    rows = spark.createDataFrame([(p,) for p, *_ in _PLACES], "path string")
+    return table(spark, sf_dir, "region").select("r_regionkey").crossJoin(F.broadcast(rows))
 
 
-@query(f"WITH {_PATHS_SQL} SELECT doc_id, CASE regexp_extract(path, '[.]([^.]+)$', 1) WHEN 'py' THEN 'python' WHEN 'go' THEN 'go' WHEN 'ts' THEN 'typescript' WHEN 'java' THEN 'java' WHEN 'rs' THEN 'rust' WHEN 'md' THEN 'plaintext' END AS language FROM paths")
+def _places_sql(k: int, name: str) -> str:
+    lit = lambda x: "NULL" if x is None else str(x).lower() if isinstance(x, bool) else f"'{x}'"
+    return f"SELECT r_regionkey, path, {name} FROM region, (VALUES {', '.join(f'({lit(p[0])}, {lit(p[k])})' for p in _PLACES)}) AS t(path, {name})"
+
+
+@query(_places_sql(1, "language"))
 def language_detect(spark, sf_dir):
-    return _paths(spark, sf_dir).select("doc_id", T.language_of(F.col("path")).alias("language"))
+    return _places(spark, sf_dir).withColumn("language", T.language_of(F.col("path")))
 
 
-@query(f"WITH {_PATHS_SQL} SELECT doc_id, path FROM paths WHERE NOT contains(path, 'secret') AND NOT contains(path, '/.env') AND NOT starts_with(path, 'node_modules/')")
+@query(_places_sql(2, "sensitive"))
 def sensitive_path_filter(spark, sf_dir):
-    return _paths(spark, sf_dir).filter(~T.is_sensitive(F.col("path")) & ~T.in_pruned_dir(F.col("path"))).select("doc_id", "path")
+    return _places(spark, sf_dir).withColumn("sensitive", T.is_sensitive(F.col("path")))
+
+
+@query(_places_sql(3, "pruned"))
+def pruned_folders(spark, sf_dir):
+    return _places(spark, sf_dir).withColumn("pruned", T.in_pruned_dir(F.col("path")))
 
 
-@query(f"""WITH {_PATHS_SQL} SELECT doc_id, starts_with(path, 'tests/') OR contains(path, '/__tests__/') OR regexp_matches(lower(path), '(_test[.]go|(^|/)test_[^/]*[.]py|_test[.]py|_test[.]rs|test[.]java)$') AS is_test FROM paths""")
+@query(_places_sql(4, "is_test"))
 def test_path_predicate(spark, sf_dir):
-    return _paths(spark, sf_dir).select("doc_id", T.is_test_path(F.col("path")).alias("is_test"))
+    return _places(spark, sf_dir).withColumn("is_test", T.is_test_path(F.col("path")))
+
+
+_MARKS = [("@Test", True), ("Test", True), ("@Test(timeout=1)", True), ("[Fact]", True), ("[Theory]", True), ("[TestMethod]", True), ("[TestCase(1)]", True), ("[Test]", True), ("#[test]", True), ("#[tokio::test]", True), ("#[async_std::test]", True), ("@pytest.mark.slow", True), ("pytest.mark.x", True), ("@testing", False), ("[Testable]", False), ("@Before", False), ("#[cfg(x)]", False), ("@property", False)]
+
+
+@query(f"SELECT r_regionkey, mark, is_test FROM region, (VALUES {', '.join(f'({chr(39)}{m}{chr(39)}, {str(t).lower()})' for m, t in _MARKS)}) AS t(mark, is_test)")
+def test_annotations(spark, sf_dir):
+    rows = spark.createDataFrame([(m,) for m, _ in _MARKS], "mark string")
+    return table(spark, sf_dir, "region").select("r_regionkey").crossJoin(F.broadcast(rows)).withColumn("is_test", T.has_test_annotation(F.array(F.lit("@Other"), F.col("mark"))))
+
+
+_EXPORTS = [("go", "Name", "func Name()", True), ("go", "name", "func name()", False), ("go", "Élan", "func Élan()", False), ("javascript", "a", "export function a()", True), ("javascript", "a", "module.exports = a", True), ("typescript", "a", "function a()", False), ("tsx", "a", "export const a", True),
+  ("python", "a", "def a()", True), ("python", "_a", "def _a()", False), ("java", "A", "public class A", True), ("java", "A", "class A", False), ("rust", "a", "pub fn a()", True), ("rust", "a", "fn a()", False), ("csharp", "A", "public class A", False), ("php", "a", "public function a()", False), ("cpp", "a", "int a()", False)]
+
+
+@query("SELECT r_regionkey, language, name, signature, exported FROM region, (VALUES " + ", ".join(f"('{g}', '{n}', '{s}', {str(x).lower()})" for g, n, s, x in _EXPORTS) + ") AS t(language, name, signature, exported)")
+def export_rules(spark, sf_dir):
+    rows = spark.createDataFrame([r[:3] for r in _EXPORTS], "language string, name string, signature string")
+    return table(spark, sf_dir, "region").select("r_regionkey").crossJoin(F.broadcast(rows)).withColumn("exported", T.is_exported(F.col("language"), F.col("name"), F.col("signature")))
+
+
+def _paths(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    ext = F.element_at(F.array(*(F.lit(x) for x in ("py", "go", "ts", "java", "rs", "PY", "md", "exe"))), (F.col("doc_id") % 8 + 1).cast("int"))
+    folder = F.element_at(F.array(*(F.lit(x) for x in ("src", "tests", "node_modules/x", "lib/__tests__"))), (F.col("n_chars") % 4 + 1).cast("int"))
+    name = F.element_at(F.array(*(F.lit(x) for x in ("main", "user_test", "test_user", "my_secrets", ".env"))), (F.col("n_chars") % 5 + 1).cast("int"))
+    return d.select("doc_id", F.concat(folder, F.lit("/"), name, F.lit("."), ext).alias("path"), "text")
+
+
+_PATHS_SQL = """paths AS (SELECT doc_id, text, ['src', 'tests', 'node_modules/x', 'lib/__tests__'][n_chars % 4 + 1] || '/' || ['main', 'user_test', 'test_user', 'my_secrets', '.env'][n_chars % 5 + 1] || '.' || ['py', 'go', 'ts', 'java', 'rs', 'PY', 'md', 'exe'][doc_id % 8 + 1] AS path FROM documents)"""
 
 
 @query("SELECT doc_id, sha1(text) AS blob_sha FROM documents")
@@ -366,33 +421,49 @@ def token_estimate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.token_estimate(F.col("text"), F.lit("plaintext")).alias("document_tokens"), T.token_estimate(F.col("text")).alias("code_tokens"))
 
 
-@query("SELECT doc_id, lang || '::' || source || CASE WHEN n > 1 THEN '#' || n ELSE '' END AS symbol_id FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS n FROM documents)")
+@query("SELECT 'src/' || n_nationkey || '.py::f' || CASE WHEN i > 1 THEN '#' || i ELSE '' END AS symbol, (2 * i - 1)::INTEGER AS line FROM nation, LATERAL (SELECT unnest(range(1, n_regionkey + 2)) AS i)")
 def unique_id_suffix(spark, sf_dir):
-    n = F.row_number().over(Window.partitionBy("lang", "source").orderBy("doc_id"))
-    return table(spark, sf_dir, "documents").withColumn("n", n).select("doc_id", F.concat("lang", F.lit("::"), "source", F.when(F.col("n") > 1, F.concat(F.lit("#"), F.col("n").cast("string"))).otherwise("")).alias("symbol_id"))
+    """Definitions of one name in a file get #2, #3 ... in order."""
+    from tessera.operators.extract import extract_files
 
+    text = F.repeat(F.lit("def f():\n    pass\n"), (F.col("n_regionkey") + 1).cast("int"))
+    files = table(spark, sf_dir, "nation").select(F.concat(F.lit("src/"), F.col("n_nationkey").cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("language"), F.encode(text, "UTF-8").alias("content"))
+    return extract_files(files).select(F.regexp_replace("id", "@[0-9a-f]{40}", "").alias("symbol"), F.col("span.start").alias("line"))
 
-@query("SELECT doc_id, substr(coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1], ''), 1, 120) AS signature, (length(text) - length(replace(text, chr(10), '')) + 1)::INTEGER AS lines FROM documents")
+
+@query("""
+WITH cut AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '^[-#=*\\s]+', ''), ' ' || chr(9) || chr(13))), lambda x: x <> '') AS lines, text FROM documents)
+SELECT 'docs/' || doc_id || '.txt' AS file_path, substr(coalesce(lines[1], ''), 1, 50) AS signature, strlen(text) AS bytes FROM cut""")
 def doc_signature(spark, sf_dir):
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
-    return table(spark, sf_dir, "documents").select("doc_id", F.substring(F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit("")), 1, 120).alias("signature"), F.size(F.split("text", "\n")).alias("lines"))
+    """The first line of a document that says something, without its marks; compared over its first 50 characters, as it is cut after 120 bytes."""
+    return _documents(spark, sf_dir).select("file_path", F.substring("signature", 1, 50).alias("signature"), F.octet_length("raw_text").cast("long").alias("bytes"))
 
 
-@query("SELECT 'docs/' || doc_id || '.txt' AS file_path, doc_id || '.txt' AS name, 'document' AS kind, (strlen(text) // 4)::INTEGER AS token_estimate, (length(text) - length(replace(text, chr(10), '')) + 1)::INTEGER AS end_line FROM documents")
-def plaintext_records(spark, sf_dir):
+@query("SELECT p_partkey, (3 + 2 * (p_size % 6))::INTEGER AS last_line, (4 + 2 * (p_size % 6))::INTEGER AS class_end FROM part")
+def brace_depth_running(spark, sf_dir):
+    """The ends of bodies with nested braces, of which some stand in strings and comments."""
+    from tessera.operators.extract import extract_files
+
+    deep = (F.col("p_size") % 6).cast("int")
+    text = F.concat(F.lit("class A {\n  void m() { // {\n"), F.repeat(F.lit("  { s = \"}}\";\n"), deep), F.repeat(F.lit("  } /* { */\n"), deep), F.lit("  }\n}\n"))
+    files = table(spark, sf_dir, "part").select(F.concat(F.lit("a/"), F.col("p_partkey").cast("string"), F.lit(".java")).alias("path"), F.lit("java").alias("language"), F.encode(text, "UTF-8").alias("content"))
+    s = extract_files(files).withColumn("p_partkey", F.regexp_extract("file_path", r"(\d+)", 1).cast(table(spark, sf_dir, "part").schema["p_partkey"].dataType))
+    return s.groupBy("p_partkey").agg(F.max(F.when(F.col("kind") == "method", F.col("span.end"))).alias("last_line"), F.max(F.when(F.col("kind") == "class", F.col("span.end"))).alias("class_end"))
+
+
+def _documents(spark, sf_dir):
     from tessera.operators.extract import extract_files
 
     files = table(spark, sf_dir, "documents").select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.lit("plaintext").alias("language"), F.encode("text", "UTF-8").alias("content"))
-    return extract_files(files).select("file_path", "name", "kind", "token_estimate", F.col("span.end").alias("end_line"))
+    return extract_files(files)
 
 
-_HREF = "unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1))"
+@query("SELECT 'docs/' || doc_id || '.txt' AS file_path, doc_id || '.txt' AS name, 'document' AS kind, (strlen(text) // 4)::INTEGER AS token_estimate, (length(text) - length(replace(text, chr(10), '')) + 1)::INTEGER AS end_line FROM documents")
+def plaintext_records(spark, sf_dir):
+    return _documents(spark, sf_dir).select("file_path", "name", "kind", "token_estimate", F.col("span.end").alias("end_line"))
 
 
-@query(f"SELECT DISTINCT page_id, 'import:' || {_HREF} AS dst FROM pages")
-def import_edges(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'href="([^"]+)"'), 1)).alias("imp"))
-    return p.select("page_id", F.concat(F.lit("import:"), "imp").alias("dst")).distinct()
+_HREF = "unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1))"
 
 
 _FOLD_SQL = "list_reduce(list_prepend('', list_filter(string_split('a/b/' || ['./', '../', '../../../'][page_id % 3 + 1] || x, '/'), lambda p: p <> '' AND p <> '.')), lambda acc, p: CASE WHEN p = '..' THEN regexp_replace(acc, '/?[^/]*$', '') WHEN acc = '' THEN p ELSE acc || '/' || p END)"
@@ -406,58 +477,15 @@ def relative_import_fold(spark, sf_dir):
 
 
 @query("""
-WITH urls AS (SELECT page_id, regexp_extract(url, '://[^/]+/([^?#]*)', 1) AS path FROM pages), dirs AS (SELECT DISTINCT doc_id % 500 AS k, lang || '/' || (doc_id % 500) AS dir FROM documents)
+WITH urls AS (SELECT page_id, regexp_extract(url, '://[^/]+/([^?#]*)', 1) AS path FROM pages), dirs AS (SELECT DISTINCT doc_id AS k, lang || '/' || doc_id AS dir FROM documents)
 SELECT page_id, k FROM urls JOIN dirs ON path = dir OR ends_with(path, '/' || dir)""")
 def scope_suffix_join(spark, sf_dir):
     urls = table(spark, sf_dir, "pages").select("page_id", F.explode(T.suffixes(F.regexp_extract("url", r"://[^/]+/([^?#]*)", 1))).alias("dir"))
-    dirs = table(spark, sf_dir, "documents").select((F.col("doc_id") % 500).alias("k"), F.concat_ws("/", "lang", (F.col("doc_id") % 500).cast("string")).alias("dir")).distinct()
+    dirs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), F.concat_ws("/", "lang", F.col("doc_id").cast("string")).alias("dir")).distinct()
     return urls.join(dirs, "dir").select("page_id", "k")
 
 
-@query("""
-WITH heads AS (SELECT conv_id, turn, lower(unnest(regexp_extract_all(text, '\\b([A-Z][A-Za-z0-9_]+)', 1))) AS w FROM conversations), names AS (SELECT DISTINCT lower(split_part(text, ' ', 1)) AS w, item_id FROM benchmark)
-SELECT DISTINCT conv_id, turn, item_id, 0.5::DOUBLE AS confidence FROM heads JOIN names USING (w)""")
-def uses_type_tokens(spark, sf_dir):
-    words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([A-Z][A-Za-z0-9_]+)"), 1))
-    heads = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.transform(words, F.lower)).alias("w"))
-    names = table(spark, sf_dir, "benchmark").select(F.lower(F.substring_index("text", " ", 1)).alias("w"), "item_id").distinct()
-    return heads.join(names, "w").select("conv_id", "turn", "item_id", F.lit(0.5).alias("confidence")).distinct()
-
-
-_SIGS = "signed AS (SELECT p_partkey AS k, p_name AS n, 'class ' || replace(p_name, ' ', '_') || ' extends ' || lower(p_type) || '_' || (p_size % 4) || CASE WHEN p_size > 30 THEN ' implements Runnable, ' || p_type ELSE '' END || ' {' AS sig FROM part)"
-
-
-@query(f"WITH {_SIGS} SELECT k, regexp_extract(sig, '\\bextends\\s+([\\w.]+)', 1) AS base, coalesce(nullif(trim(regexp_extract(sig, '\\bimplements\\s+([^{{]+)', 1)), ''), '') AS implemented FROM signed")
-def extends_regex(spark, sf_dir):
-    sig = F.concat(F.lit("class "), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(" extends "), F.lower("p_type"), F.lit("_"), (F.col("p_size") % 4).cast("string"), F.when(F.col("p_size") > 30, F.concat(F.lit(" implements Runnable, "), "p_type")).otherwise(""), F.lit(" {"))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.regexp_extract(sig, r"\bextends\s+([\w.]+)", 1).alias("base"), F.trim(F.regexp_extract(sig, r"\bimplements\s+([^{]+)", 1)).alias("implemented"))
-
-
-@query("""
-WITH calls AS (SELECT DISTINCT l_orderkey % 400 AS a, 1000 + l_partkey % 400 AS b FROM lineitem WHERE l_linenumber = 1 UNION SELECT DISTINCT 1000 + l_partkey % 400, 2000 + l_suppkey FROM lineitem WHERE l_linenumber = 2),
-rules AS (SELECT a AS test, b AS target, 0.85::DOUBLE AS c, 1 AS rule FROM calls WHERE a < 1000 UNION ALL SELECT x.a, y.b, 0.55, 2 FROM calls x JOIN calls y ON y.a = x.b WHERE x.a < 1000 UNION ALL SELECT a, b, 0.8, 0 FROM calls WHERE a < 1000 AND a % 10 = (b - 1000) % 10)
-SELECT test, target, arg_min(c, rule) AS confidence FROM rules GROUP BY 1, 2""")
-def tests_edge_confidence_tiers(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem")  # noqa: E741
-    part = 1000 + F.col("l_partkey") % 400
-    calls = l.filter("l_linenumber = 1").select((F.col("l_orderkey") % 400).alias("a"), part.alias("b")).unionByName(l.filter("l_linenumber = 2").select(part.alias("a"), (2000 + F.col("l_suppkey")).alias("b"))).distinct()
-    first = calls.filter("a < 1000")
-    row = lambda df, c, rule: df.select(F.col("a").alias("test"), F.col("b").alias("target"), F.lit(c).alias("c"), F.lit(rule).alias("rule"))
-    beyond = first.join(calls.select(F.col("a").alias("b"), F.col("b").alias("next")), "b").select("a", F.col("next").alias("b"))
-    every = row(first, 0.85, 1).unionByName(row(beyond, 0.55, 2)).unionByName(row(first.filter("a % 10 = (b - 1000) % 10"), 0.8, 0))
-    return every.groupBy("test", "target").agg(F.min_by("c", "rule").alias("confidence"))
-
-
 @query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS n FROM conversations) WHERE n = 1")
 def first_symbol_per_file(spark, sf_dir):
     return dedup_window(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "role").select("conv_id", "turn", "role")
 
-
-@query("""
-WITH code AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents)
-SELECT doc_id, max(depth) AS deepest, arg_max(depth, k) AS left_open FROM (SELECT doc_id, k, sum(length(line) - length(replace(line, 'a', '')) - (length(line) - length(replace(line, 'e', '')))) OVER (PARTITION BY doc_id ORDER BY k)::BIGINT AS depth FROM code) GROUP BY doc_id""")
-def brace_depth_running(spark, sf_dir):
-    code = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    count = lambda c: F.length("line") - F.length(F.replace("line", F.lit(c), F.lit("")))
-    depth = F.sum(count("a") - count("e")).over(Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
-    return code.withColumn("depth", depth.cast("long")).groupBy("doc_id").agg(F.max("depth").alias("deepest"), F.max_by("depth", "at").alias("left_open"))
