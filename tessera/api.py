@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timedelta, timezone
 from pathlib import Path
 
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import certify, edges, region, search, snapshot, traverse
+from tessera.operators.embed import Embedder, refreshed
 from tessera.operators.extract import extract_files
 from tessera.operators.merge import carry_forward, deps, merge_edges, sync
 from tessera.policy import DIAGNOSTIC, TESTS, TraversalPolicy
@@ -21,19 +22,41 @@ from tessera.sources.store import Store, changed_files, vanished_files
 
 @dataclass
 class Config:
-    """Where the tree and the store are, and which analyzers add edges of their own."""
+    """Where the tree and the store are, which analyzers add edges of their own, and what semantic search goes by.
+
+    Where native_languages are named only their analyzers run; those of native_disabled_languages never do. ``embeddings`` is 'tfidf' or 'static', which needs
+    the files of a vocabulary and a matrix; where these can't be read the search is by TF-IDF.
+    """
 
     root: str
     store: str | None = None
     native_analyzers: list = field(default_factory=list)
     native_languages: tuple[str, ...] = ()
     native_disabled_languages: tuple[str, ...] = ()
+    embeddings: str = "tfidf"
+    vocabulary: str | None = None
+    matrix: str | None = None
 
     def resolved(self) -> Config:
         root = Path(self.root).resolve()
         if not root.is_dir():
             raise NotADirectoryError(str(root))
-        return Config(str(root), self.store or str(root / ".tessera"), self.native_analyzers, self.native_languages, self.native_disabled_languages)
+        if self.embeddings not in ("tfidf", "static"):
+            raise ValueError(f"embeddings: {self.embeddings}")
+        return replace(self, root=str(root), store=self.store or str(root / ".tessera"))
+
+    def wants(self, languages) -> bool:
+        """Whether an analyzer of these languages runs."""
+        own = set(languages)
+        return not own & set(self.native_disabled_languages) and (not self.native_languages or bool(own & set(self.native_languages)))
+
+    def embedder(self) -> Embedder | None:
+        if self.embeddings != "static" or not (self.vocabulary and self.matrix):
+            return None
+        try:
+            return Embedder.load(self.vocabulary, self.matrix)
+        except (OSError, ValueError):
+            return None
 
 
 class Engine:
@@ -42,6 +65,7 @@ class Engine:
     def __init__(self, spark: SparkSession, config: Config):
         self.spark, self.config = spark, config.resolved()
         self.store = Store(spark, self.config.store)
+        self.embedder = self.config.embedder()
 
     @classmethod
     def open(cls, spark: SparkSession, root: str, **more) -> Engine:
@@ -58,7 +82,8 @@ class Engine:
 
     def index(self, force: bool = False) -> dict:
         """Brings the store up to the tree: changed files are extracted anew, vanished ones pruned, edges rebuilt unless nothing changed."""
-        files = materialize(walk(self.spark, self.root).filter(~F.col("path").startswith(".tessera/")), "walk")
+        # hashes and sizes are written, contents not: those of changed files are read again
+        files = materialize(walk(self.spark, self.root).drop("content"), "walk")
         errors = [r.asDict() for r in oversized(files).collect()]
         current = files.withColumnRenamed("path", "file_path")
         stored = self.store.read("manifest")
@@ -67,20 +92,26 @@ class Engine:
         gone = materialize(vanished_files(current, stored), "gone")
         n_changed, n_gone, n_files = changed.count(), gone.count(), files.count()
         if n_changed or n_gone:
-            new = materialize(extract_files(changed), "symbols")
+            contents = walk(self.spark, self.root)
+            new = materialize(extract_files(contents.join(changed.select("path"), "path", "left_semi")), "symbols")
             counts = new.groupBy("file_path").agg(F.count("*").cast("int").alias("symbol_count"))
             manifest = changed.select(F.col("path").alias("file_path"), "blob_sha", "language").join(counts, "file_path", "left").select("file_path", "blob_sha", "language", F.coalesce("symbol_count", F.lit(0)).alias("symbol_count"), F.current_timestamp().alias("indexed_at"))
             symbols, manifest = self.store.upsert_files(new, manifest, gone)
             symbols = materialize(symbols, "all-symbols")
             built = edges.build(symbols)
-            touched = [r.language for r in changed.select("language").distinct().collect()]
+            touched = {r.language for r in changed.select("language").unionByName(stored.join(gone, "file_path", "left_semi").select("language")).distinct().collect()}
+            ran: set[str] = set()
             for analyzer in self.config.native_analyzers:
-                if not set(analyzer.languages()) & set(self.config.native_disabled_languages) and analyzer.available(self.root):
-                    built = built.unionByName(complete(analyzer.analyze(symbols, files), EDGES))
-            untouched = [r.language for r in symbols.select("language").distinct().collect() if r.language not in touched]
+                # what an analyzer said of languages without a change is carried forward
+                if self.config.wants(analyzer.languages()) and touched & set(analyzer.languages()) and analyzer.available(self.root):
+                    built = built.unionByName(complete(analyzer.analyze(symbols, contents), EDGES))
+                    ran |= set(analyzer.languages())
+            untouched = [r.language for r in symbols.select("language").distinct().collect() if r.language not in touched | ran]
             built = materialize(merge_edges(built.unionByName(carry_forward(self.store.read("edges"), untouched, symbols))), "built")
             changes = {r.action: r.n for r in sync(self.store.read("edges"), built).groupBy("action").agg(F.count("*").alias("n")).collect()}
-            self.store.commit(symbols=symbols, manifest=manifest, edges=built)
+            index = search.tf_idf(search.term_counts(symbols, self._text())).withColumn("part", search.part_of(F.col("term"))).repartition("part")
+            more = {"vectors": refreshed(symbols, self.store.read("vectors"), self.embedder)} if self.embedder else {}
+            self.store.commit(symbols=symbols, manifest=manifest, edges=built, postings=index, **more)
         else:
             changes = {}
         return {"files": n_files, "indexed": n_changed, "skipped": n_files - n_changed, "pruned": n_gone, "edges": changes, "errors": errors} | {"symbols": self.symbols_table().count()}
@@ -99,11 +130,16 @@ class Engine:
     def symbols(self, query: str, limit: int = 50) -> DataFrame:
         return search.lexical(self.symbols_table(), query, limit)
 
+    @staticmethod
+    def _text():
+        return F.concat_ws(" ", "name", "qualified_name", "signature", "docstring", "parent_symbol")
+
     def semantic(self, query: str, limit: int = 20) -> DataFrame:
-        """(id, score) by TF-IDF over name, qualified name, signature, docstring and parent."""
-        text = F.concat_ws(" ", "name", "qualified_name", "signature", "docstring", "parent_symbol")
-        table = self.symbols_table()
-        return search.tf_idf_query(search.tf_idf(table, text), search.idf_of(table, text), query, limit)
+        """(id, score): by static embeddings where they are configured, else by TF-IDF over name, qualified name, signature, docstring and parent, from the stored index."""
+        if self.embedder:
+            return search.cosine_top(self.store.read("vectors"), self.embedder.embed(query).tolist(), limit)
+        index = self.store.read("postings").filter(F.col("part").isin(search.parts_asked(self.spark, query)))
+        return search.tf_idf_query(index, query, limit)
 
     def query(self, query: str, limit: int = 20) -> DataFrame:
         """Semantic hits, then lexical ones, ``limit`` in all."""

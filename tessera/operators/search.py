@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import camel_tokens
+from tessera.runtime import materialize
 
 
 def rank(query: str) -> Column:
@@ -26,35 +27,61 @@ def lexical(symbols: DataFrame, query: str, limit: int = 50, start: str = "span.
     return ranked.orderBy(F.desc("rank"), "file_path", start, "id").limit(limit if limit > 0 else 50)
 
 
-def tf_idf(docs: DataFrame, text: Column, key: str = "id") -> DataFrame:
-    """The inverted index (term, key, weight, norm): weight (1 + ln tf) * ln((n + 1) / (df + 1)), norm that of the document's weights."""
-    terms = docs.select(key, F.explode(camel_tokens(text)).alias("term"))
-    tf = terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+def term_counts(docs: DataFrame, text: Column, key: str = "id") -> DataFrame:
+    """(key, term, tf, n), written once: how often each term is in each document, and the number of documents; null keys are a document too."""
+    counted = docs.select(key, F.explode(camel_tokens(text)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
     total = docs.select(key).distinct().agg(F.count("*").alias("n"))
-    weighed = tf.join(df, "term").crossJoin(F.broadcast(total)).select("term", key, ((1 + F.log("tf")) * F.log((F.col("n") + 1) / (F.col("df") + 1))).alias("weight"))
+    return materialize(counted.crossJoin(F.broadcast(total)), "term-counts")
+
+
+def idf(counts: DataFrame) -> DataFrame:
+    """(term, df, idf) of the documents in term_counts."""
+    return counts.groupBy("term").agg(F.count("*").alias("df"), F.first("n").alias("n")).select("term", "df", F.log((F.col("n") + 1) / (F.col("df") + 1)).alias("idf"))
+
+
+def tf_idf(counts: DataFrame, key: str = "id") -> DataFrame:
+    """The inverted index (term, key, weight, norm, idf) of term_counts: weight (1 + ln tf) * ln((n + 1) / (df + 1)), norm that of the document's weights."""
+    weighed = counts.join(idf(counts).select("term", "idf"), "term").select("term", key, ((1 + F.log("tf")) * F.col("idf")).alias("weight"), "idf")
     norms = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    return weighed.join(norms, key)
+    return weighed.join(norms, key).select("term", key, "weight", "norm", "idf")
+
+
+def tf_idf_of(counts: DataFrame, query: str, key: str = "id") -> DataFrame:
+    """The rows of tf_idf for the terms of a query alone: norms are summed only for the documents that have one of them."""
+    spark = counts.sparkSession
+    asked = spark.createDataFrame([(query,)], "q string").select(F.explode(F.array_distinct(camel_tokens(F.col("q")))).alias("term"))
+    weights = idf(counts).select("term", "idf")
+    hit = materialize(counts.join(F.broadcast(asked), "term", "left_semi").join(weights, "term").select("term", key, ((1 + F.log("tf")) * F.col("idf")).alias("weight"), "idf"), "hits")
+    touched = counts.join(hit.select(key).distinct(), key, "left_semi").join(weights, "term")
+    norms = touched.groupBy(key).agg(F.sqrt(F.sum(F.pow((1 + F.log("tf")) * F.col("idf"), F.lit(2)))).alias("norm"))
+    return hit.join(norms, key).select("term", key, "weight", "norm", "idf")
+
+
+#: The stored index has so many parts, by hash of the term; a query reads those of its terms.
+PARTS = 64
 
 
-def tf_idf_query(index: DataFrame, idf: DataFrame, query: str, limit: int = 20, key: str = "id") -> DataFrame:
-    """(key, score): cosine of the query with the documents of the index; idf has (term, idf). Terms that no document has are ignored; nothing for a limit of 0 or less."""
+def part_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
+
+
+def parts_asked(spark, query: str) -> list[int]:
+    """The parts of the index that a query's terms are in."""
+    return [r.part for r in spark.createDataFrame([(query,)], "q string").select(F.explode(camel_tokens(F.col("q"))).alias("term")).select(part_of(F.col("term")).alias("part")).distinct().collect()]
+
+
+def tf_idf_query(index: DataFrame, query: str, limit: int = 20, key: str = "id") -> DataFrame:
+    """(key, score): cosine of the query with the documents of the index (tf_idf or its rows for the query's terms). Terms that no document has are ignored; nothing for a limit of 0 or less."""
     spark = index.sparkSession
     asked = spark.createDataFrame([(query,)], "q string").select(F.explode(camel_tokens(F.col("q"))).alias("term")).groupBy("term").agg(F.count("*").alias("tf"))
-    q = asked.join(idf, "term").select("term", ((1 + F.log("tf")) * F.col("idf")).alias("asked"))
-    size = q.agg(F.sqrt(F.sum(F.col("asked") * F.col("asked"))).alias("asked_norm"))
-    hits = index.join(F.broadcast(q), "term").groupBy(key).agg(F.sum(F.col("weight") * F.col("asked")).alias("dot"), F.max("norm").alias("norm"))
-    scored = hits.crossJoin(F.broadcast(size)).filter("dot > 0 AND norm > 0 AND asked_norm > 0").select(key, (F.col("dot") / (F.col("norm") * F.col("asked_norm"))).alias("score"))
+    # a query's terms are few: they are broadcast, and only their rows leave the index
+    hits = materialize(index.join(F.broadcast(asked), "term").withColumn("asked", (1 + F.log("tf")) * F.col("idf")), "asked")
+    size = hits.groupBy("term").agg(F.first("asked").alias("asked")).agg(F.sqrt(F.sum(F.col("asked") * F.col("asked"))).alias("asked_norm"))
+    dots = hits.groupBy(key).agg(F.sum(F.col("weight") * F.col("asked")).alias("dot"), F.max("norm").alias("norm"))
+    scored = dots.crossJoin(F.broadcast(size)).filter("dot > 0 AND norm > 0 AND asked_norm > 0").select(key, (F.col("dot") / (F.col("norm") * F.col("asked_norm"))).alias("score"))
     return scored.orderBy(F.desc("score"), key).limit(max(limit, 0))
 
 
-def idf_of(docs: DataFrame, text: Column, key: str = "id") -> DataFrame:
-    """(term, df, idf) over the documents."""
-    terms = docs.select(key, F.explode(F.array_distinct(camel_tokens(text))).alias("term"))
-    total = docs.select(key).distinct().agg(F.count("*").alias("n"))
-    return terms.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select("term", "df", F.log((F.col("n") + 1) / (F.col("df") + 1)).alias("idf"))
-
-
 def dot(a: Column, b: Column) -> Column:
     """Dot product in double."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

@@ -14,11 +14,11 @@ MOST_HOPS = 64
 
 
 def followed(edges: DataFrame, types: tuple[str, ...] | None = IMPACT_TYPES, policy: TraversalPolicy = DIAGNOSTIC) -> DataFrame:
-    """The distinct (src, dst) that a traversal may use."""
+    """(src, dst) that a traversal may use, not distinct: every hop reduces what it reaches anyway, and to do so here would shuffle all edges."""
     kept = edges.filter(policy.allows())
     if types is not None:
         kept = kept.filter(F.col("type").isin(*types))
-    return kept.select("src", "dst").distinct()
+    return kept.select("src", "dst")
 
 
 def inbound(links: DataFrame, seeds: DataFrame, max_depth: int | None = 3) -> DataFrame:
@@ -29,15 +29,16 @@ def inbound(links: DataFrame, seeds: DataFrame, max_depth: int | None = 3) -> Da
     """
     links = materialize(links.dropna(subset=["src", "dst"]), "links")
     frontier = materialize(seeds.select("node").dropna().distinct().withColumn("depth", F.lit(0)), "frontier")
-    hops = [frontier]
     visited = frontier
     limit = max_depth if max_depth is not None else MOST_HOPS
     for depth in range(1, limit + 1):
         step = links.join(frontier.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node")).distinct()
-        frontier = materialize(step.join(visited.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
+        step = step.join(visited.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
+        if depth == max_depth:
+            return visited.unionByName(step)  # the last and largest hop need not be written
+        frontier = materialize(step, "frontier")
         if frontier.isEmpty():
             return visited
-        hops.append(frontier)
         visited = visited.unionByName(frontier)
     if max_depth is None and not links.join(frontier.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node")).join(visited, "node", "left_anti").isEmpty():
         raise RuntimeError(f"closure not complete after {MOST_HOPS} hops")
@@ -51,7 +52,10 @@ def inbound_each(links: DataFrame, seeds: DataFrame, max_depth: int) -> DataFram
     visited = frontier
     for depth in range(1, max_depth + 1):
         step = links.join(frontier.select("seed", F.col("node").alias("dst")), "dst").select("seed", F.col("src").alias("node")).distinct()
-        frontier = materialize(step.join(visited.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)), "frontier")
+        step = step.join(visited.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth))
+        if depth == max_depth:
+            return visited.unionByName(step)
+        frontier = materialize(step, "frontier")
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)
@@ -63,9 +67,11 @@ def best_product(edges: DataFrame, seeds: DataFrame, floor: float, max_depth: in
     links = materialize(edges.dropna(subset=["src", "dst"]).groupBy("src", "dst").agg(F.max("confidence").alias("confidence")), "links")
     frontier = materialize(seeds.select(F.col("node").alias("seed"), "node").dropna().distinct().withColumn("product", F.lit(1.0)), "best")
     best = frontier
-    for _ in range(max_depth):
+    for depth in range(1, max_depth + 1):
         step = links.join(frontier.select("seed", F.col("node").alias("dst"), "product"), "dst").select("seed", F.col("src").alias("node"), (F.col("product") * F.col("confidence")).alias("product"))
         step = step.filter(F.col("product") >= floor).groupBy("seed", "node").agg(F.max("product").alias("product"))
+        if depth == max_depth:
+            return best.unionByName(step).groupBy("seed", "node").agg(F.max("product").alias("product"))
         known = best.select("seed", "node", F.col("product").alias("known"))
         frontier = materialize(step.join(known, ["seed", "node"], "left").filter("known IS NULL OR product > known").drop("known"), "frontier")
         if frontier.isEmpty():

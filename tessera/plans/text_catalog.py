@@ -46,7 +46,7 @@ WITH terms AS (SELECT DISTINCT doc_id, unnest({_tokens_sql('text')}) AS term FRO
 SELECT term, count(*) AS df, round(ln((n + 1)::DOUBLE / (count(*) + 1)), 6) AS idf FROM terms, n GROUP BY term, n""")
 def tfidf_df_idf(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return search.idf_of(docs, F.col("text")).select("term", "df", F.round("idf", 6).alias("idf"))
+    return search.idf(search.term_counts(docs, F.col("text"))).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"""
@@ -58,10 +58,21 @@ hits AS (SELECT id, sum(w * q) / (max(norm) * (SELECT sqrt(sum(q * q)) FROM q))
 SELECT id, round(score, 6) AS score FROM hits WHERE score > 0 ORDER BY score DESC, id LIMIT 20""")
 def tfidf_query_topk(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    found = search.tf_idf_query(search.tf_idf(docs, F.col("text")), search.idf_of(docs, F.col("text")), "thingReader erlyst anre anre", 20)
+    asked = "thingReader erlyst anre anre"
+    found = search.tf_idf_query(search.tf_idf_of(search.term_counts(docs, F.col("text")), asked), asked, 20)
     return found.select("id", F.round("score", 6).alias("score"))
 
 
+@query(f"""
+WITH terms AS (SELECT doc_id AS id, unnest({_tokens_sql('text')}) AS term FROM documents), tf AS (SELECT id, term, count(*) AS tf FROM terms GROUP BY 1, 2),
+idf AS (SELECT term, ln(((SELECT count(*) FROM documents) + 1)::DOUBLE / (count(*) + 1)) AS idf FROM tf GROUP BY term),
+w AS (SELECT id, term, (1 + ln(tf)) * idf AS w FROM tf JOIN idf USING (term)) SELECT id, count(*) AS terms, round(sqrt(sum(w * w)), 6) AS norm FROM w GROUP BY id""")
+def tfidf_index(spark, sf_dir):
+    """The whole inverted index, summed up by document."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return search.tf_idf(search.term_counts(docs, F.col("text"))).groupBy("id").agg(F.count("*").alias("terms"), F.round(F.max("norm"), 6).alias("norm"))
+
+
 _Q = [((i * 37) % 11 - 5) / 10 for i in range(64)]
 _Q_SQL = "[" + ", ".join(f"{x}::DOUBLE" for x in _Q) + "]"
 

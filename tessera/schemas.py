@@ -22,6 +22,8 @@ SYMBOLS = _struct(
 )
 EDGES = _struct(src=_S, dst=_S, type=_S, confidence=_D, source=_S, reason=_S)
 MANIFEST = _struct(file_path=_S, blob_sha=_S, language=_S, symbol_count=_I, indexed_at=_TS)
+POSTINGS = _struct(part=_I, term=_S, id=_S, weight=_D, norm=_D, idf=_D)
+VECTORS = _struct(id=_S, text_sha=_S, vector=T.ArrayType(_D))
 LEASES = _struct(lock_key=_S, intent_id=_S, acquired_at=_TS, expires_at=_TS)
 
 KINDS = ("function", "method", "constructor", "class", "interface", "type", "const", "enum", "module", "namespace", "variable", "field", "struct", "trait", "decorator", "annotation", "file", "document")
