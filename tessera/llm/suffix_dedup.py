@@ -231,7 +231,7 @@ def _shared_anchors(anchors: DataFrame, bucket_rows: int, most_hot: int = 100_00
     return materialize(both.select("gram", "row_key", parts, "lead"), "shared-anchors"), rows
 
 
-def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_rows: int = 40_000, sampled: int = 100_000) -> DataFrame:
+def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_rows: int = 10_000, sampled: int = 100_000) -> DataFrame:
     """The stretches of documents (doc_id, text) whose every ``length`` words stand in another document too.
 
     Rows: doc_id, first_word, end_word (after the last), n_words, other_doc_id (one document that has the stretch's beginning). Words are
@@ -307,7 +307,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, b
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns.values()), right, left], names=[*columns, "right", "left"])
 
     found = map_arrow(texts.join(chosen, "row_key").select("doc_id", "text", "grams", "row_key"), suffixes, "bucket int, part int, gram long, parts int, doc_id long, at int, fewest int, most int, right binary, left binary")
-    placed = found.repartition(min(cells, 1 << 16), "bucket", "part").sortWithinPartitions("bucket", "part", "gram")
+    placed = found.repartition(min(2 * cells, 1 << 16), "bucket", "part").sortWithinPartitions("bucket", "part", "gram")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitters = known.value
