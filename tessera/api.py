@@ -16,7 +16,7 @@ from tessera.operators.merge import carry_forward, deps, merge_edges, sync
 from tessera.policy import DIAGNOSTIC, TESTS, TraversalPolicy
 from tessera.runtime import materialize
 from tessera.schemas import EDGES, complete
-from tessera.sources.scan import oversized, walk
+from tessera.sources.scan import contents, oversized, walk
 from tessera.sources.store import Store, changed_files, vanished_files
 
 
@@ -92,8 +92,7 @@ class Engine:
         gone = materialize(vanished_files(current, stored), "gone")
         n_changed, n_gone, n_files = changed.count(), gone.count(), files.count()
         if n_changed or n_gone:
-            contents = walk(self.spark, self.root)
-            new = materialize(extract_files(contents.join(changed.select("path"), "path", "left_semi")), "symbols")
+            new = materialize(extract_files(contents(changed.select("path", "language"), self.root)), "symbols")
             counts = new.groupBy("file_path").agg(F.count("*").cast("int").alias("symbol_count"))
             manifest = changed.select(F.col("path").alias("file_path"), "blob_sha", "language").join(counts, "file_path", "left").select("file_path", "blob_sha", "language", F.coalesce("symbol_count", F.lit(0)).alias("symbol_count"), F.current_timestamp().alias("indexed_at"))
             symbols, manifest = self.store.upsert_files(new, manifest, gone)
@@ -104,7 +103,7 @@ class Engine:
             for analyzer in self.config.native_analyzers:
                 # what an analyzer said of languages without a change is carried forward
                 if self.config.wants(analyzer.languages()) and touched & set(analyzer.languages()) and analyzer.available(self.root):
-                    built = built.unionByName(complete(analyzer.analyze(symbols, contents), EDGES))
+                    built = built.unionByName(complete(analyzer.analyze(symbols, walk(self.spark, self.root)), EDGES))
                     ran |= set(analyzer.languages())
             untouched = [r.language for r in symbols.select("language").distinct().collect() if r.language not in touched | ran]
             built = materialize(merge_edges(built.unionByName(carry_forward(self.store.read("edges"), untouched, symbols))), "built")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import half_up_4
-from tessera.operators.intervals import tightest
+from tessera.operators.intervals import overlapping, tightest
 from tessera.operators.traverse import best_product, inbound_each
 from tessera.runtime import fresh
+from tessera.schemas import CALLABLE
 
 
 def match_declarations(decls: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -79,11 +80,33 @@ def gate(scores: DataFrame, floors: DataFrame, metrics: tuple[str, ...] = ("prec
     return scores.join(f, "repo").select("repo", tolerance, F.explode(rows).alias("x")).filter(f"x.value < x.floor - {tolerance}").select("repo", "x.metric", "x.value", "x.floor")
 
 
-def universe_report(decls: DataFrame, matched: DataFrame, manifest: DataFrame, is_test_path) -> DataFrame:
-    """(why, n) of declarations without a symbol: file not indexed, test file, anonymous, generated, or not extracted."""
-    lost = decls.join(matched.select("file", "line", "name").distinct(), ["file", "line", "name"], "left_anti").join(manifest.select(F.col("file_path").alias("file"), F.lit(True).alias("indexed")), "file", "left")
-    why = F.when(F.col("indexed").isNull(), "file-not-indexed").when(is_test_path, "test-file").when(F.col("name").rlike(r"\$\d|<|lambda|anonymous"), "synthetic").otherwise("not-extracted")
-    return lost.groupBy(why.alias("why")).agg(F.count("*").alias("n"))
+def universe_report(decls: DataFrame, matched: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(why, n) of distinct declarations (file, line, name) that no symbol was matched to.
+
+    'no-symbols': the file has none; 'no-span': none holds the line; 'not-callable': one that does has the name but is no callable; 'name-disagrees': a callable does, under another name.
+    """
+    lost = decls.select("file", "line", "name").distinct().join(matched.select("file", "line", "name").distinct(), ["file", "line", "name"], "left_anti")
+    spans = symbols.select(F.col("file_path").alias("file"), F.col("name").alias("symbol_name"), F.col("kind").isin(*CALLABLE).alias("callable"), F.col("span.start").alias("span_start"), F.col("span.end").alias("span_end"))
+    points = lost.withColumns({"low": F.col("line"), "high": F.col("line")})
+    inside = overlapping(points, spans, "file", ("low", "high"), ("span_start", "span_end"))
+    base = F.substring_index("name", ".", -1)
+    named = (F.col("symbol_name") == base) | (F.col("symbol_name") == F.col("name")) | F.col("symbol_name").endswith(F.concat(F.lit("."), base))
+    flags = inside.groupBy("file", "line", "name").agg(F.max(named & ~F.col("callable")).alias("other_kind"), F.max(~named & F.col("callable")).alias("other_name"))
+    known = symbols.select(F.col("file_path").alias("file"), F.lit(True).alias("has")).distinct()
+    why = F.when(F.col("has").isNull(), "no-symbols").when(F.col("other_kind"), "not-callable").when(F.col("other_name"), "name-disagrees").otherwise("no-span")
+    return lost.join(known, "file", "left").join(flags, ["file", "line", "name"], "left").groupBy(why.alias("why")).agg(F.count("*").alias("n"))
+
+
+def outside_oracle(language: Column, file: Column, name: Column) -> Column:
+    """What an oracle leaves out: build output of C and C++, what Java's compiler makes up, PHP's closures."""
+    c = language.isin("c", "cpp") & file.rlike(r"(^|/)build/|^cmake-build")
+    java = (language == "java") & (name.rlike(r"lambda\$|access\$|\$deserializeLambda\$") | name.isin("$values", "<clinit>"))
+    return c | java | ((language == "php") & name.contains("{closure"))
+
+
+def is_header(file: Column) -> Column:
+    """Whether a file of C or C++ is a header."""
+    return file.rlike(r"\.(h|hpp|hh|hxx|inc)$")
 
 
 def scorecard(title: str, row: dict) -> str:

@@ -258,7 +258,7 @@ def _once(spark, sf_dir, name: str, make) -> DataFrame:
     """A table of the repositories, written once for each application."""
     key = (spark.sparkContext.applicationId, str(sf_dir), name)
     if key not in _built:
-        _built[key] = materialize(make(), f"code-{name}")
+        _built[key] = materialize(make(), f"code-{name}", keep=True)
     return _built[key]
 
 

@@ -403,6 +403,30 @@ def export_rules(spark, sf_dir):
     return table(spark, sf_dir, "region").select("r_regionkey").crossJoin(F.broadcast(rows)).withColumn("exported", T.is_exported(F.col("language"), F.col("name"), F.col("signature")))
 
 
+@query(f"""
+WITH {SYMBOLS_SQL}, decls AS (SELECT DISTINCT CASE WHEN p_partkey % 7 = 0 THEN 'src/none.py' ELSE 'src/' || lower(p_type) || '.py' END AS file, p_size + 2 + 40 * (p_partkey % 2) AS line, CASE p_partkey % 3 WHEN 0 THEN 'x.' || replace(p_name, ' ', '_') ELSE 'zz' || p_partkey END AS name FROM part),
+marked AS (SELECT d.file, d.line, d.name, max(s.name = split_part(d.name, '.', -1) AND kind = 'class') AS other_kind, max(s.name <> split_part(d.name, '.', -1) AND kind = 'method') AS other_name
+  FROM decls d LEFT JOIN symbols s ON s.file_path = d.file AND d.line BETWEEN span_start AND span_end GROUP BY 1, 2, 3)
+SELECT CASE WHEN file NOT IN (SELECT file_path FROM symbols) THEN 'no-symbols' WHEN other_kind THEN 'not-callable' WHEN other_name THEN 'name-disagrees' ELSE 'no-span' END AS why, count(*) AS n FROM marked GROUP BY 1""")
+def universe_reasons(spark, sf_dir):
+    key = F.col("p_partkey")
+    decls = table(spark, sf_dir, "part").select(
+        F.when(key % 7 == 0, "src/none.py").otherwise(F.concat(F.lit("src/"), F.lower("p_type"), F.lit(".py"))).alias("file"), (F.col("p_size") + 2 + 40 * (key % 2)).alias("line"),
+        F.when(key % 3 == 0, F.concat(F.lit("x."), F.replace("p_name", F.lit(" "), F.lit("_")))).otherwise(F.concat(F.lit("zz"), key.cast("string"))).alias("name"),
+    )
+    return evals.universe_report(decls, decls.limit(0), symbols(spark, sf_dir))
+
+
+_MADE_UP = [("java", "A.java", "lambda$run$0", True), ("java", "A.java", "access$100", True), ("java", "A.java", "<clinit>", True), ("java", "A.java", "$values", True), ("java", "A.java", "run", False), ("php", "a.php", "{closure:1}", True), ("php", "a.php", "lambda$x", False),
+  ("c", "build/a.h", "f", True), ("cpp", "x/build/a.h", "f", True), ("c", "cmake-build-debug/a.c", "f", True), ("c", "src/builder/a.c", "f", False), ("go", "build/a.go", "f", False)]
+
+
+@query("SELECT r_regionkey, language, file, name, outside FROM region, (VALUES " + ", ".join(f"('{g}', '{f}', '{n}', {str(x).lower()})" for g, f, n, x in _MADE_UP) + ") AS t(language, file, name, outside)")
+def oracle_exclusions(spark, sf_dir):
+    rows = spark.createDataFrame([r[:3] for r in _MADE_UP], "language string, file string, name string")
+    return table(spark, sf_dir, "region").select("r_regionkey").crossJoin(F.broadcast(rows)).withColumn("outside", evals.outside_oracle(F.col("language"), F.col("file"), F.col("name")))
+
+
 def _paths(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     ext = F.element_at(F.array(*(F.lit(x) for x in ("py", "go", "ts", "java", "rs", "PY", "md", "exe"))), (F.col("doc_id") % 8 + 1).cast("int"))

@@ -53,14 +53,28 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and returns the table read back: the lineage ends there."""
+_written: dict[str, list[str]] = {}
+
+
+def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Writes df as Parquet in the shared folder and returns the table read back: the lineage ends there. ``release`` removes it unless it is to be kept."""
     spark = df.sparkSession
     path = shared_path(spark, label)
     df.write.parquet(path)
+    if not keep:
+        _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Removes the tables that this application's operators wrote, and returns their number; results not yet read are lost with them."""
+    gone = 0
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        gone += bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True))
+    return gone
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, lengthened where df has such a column already (Spark compares without case)."""
     taken = {c.lower() for c in df.columns}

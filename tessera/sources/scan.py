@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import json
+import os
 import re
+from collections.abc import Iterator
+from itertools import islice
 from pathlib import PurePosixPath
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.functions.text import in_pruned_dir, is_sensitive, language_of
+from tessera.functions.text import PRUNED, is_sensitive, language_of
 from tessera.operators.extract import LARGEST
+from tessera.runtime import ship
 
 #: Read in this order in each folder, so that the project's own rules are the later ones to lose.
 IGNORE_FILES = (".tesseraignore", ".gitignore")
@@ -74,16 +80,89 @@ def is_ignored(path: Column, rules: list[tuple[str, bool]]) -> Column:
     return F.lit(False) if verdict is None else verdict.otherwise(False)
 
 
+def _file_system(root: str):
+    """(file system, path on it) of a folder's URI or local path."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(root))
+
+
+def _below(system, at: str, skip: frozenset[str]) -> Iterator[tuple[str, int]]:
+    """(path, bytes) of the files below a folder; folders of these names are not entered, nor are links."""
+    from pyarrow import fs
+
+    if isinstance(system, fs.LocalFileSystem):
+        for folder, inside, names in os.walk(at):
+            inside[:] = sorted(x for x in inside if x not in skip)
+            for name in sorted(names):
+                path = os.path.join(folder, name)
+                if not os.path.islink(path) and os.path.isfile(path):
+                    yield path, os.path.getsize(path)
+        return
+    todo = [at]
+    while todo:
+        for x in system.get_file_info(fs.FileSelector(todo.pop())):
+            if x.type == fs.FileType.File:
+                yield x.path, x.size
+            elif x.type == fs.FileType.Directory and x.base_name not in skip:
+                todo.append(x.path)
+
+
+def listing(spark: SparkSession, root: str, skip: tuple[str, ...] = ()) -> DataFrame:
+    """(path, length) of the files below root, relative to it, but for folders of the names in skip.
+
+    Spark's own readers pass over names that begin with _ or a dot, such as __init__.py and ignore files, and over empty files. The driver lists
+    root alone; each folder in it is listed by a task.
+    """
+    from pyarrow import fs
+
+    system, home = _file_system(root)
+    top = [(os.path.relpath(x.path, home), x.type == fs.FileType.Directory, x.size or 0) for x in system.get_file_info(fs.FileSelector(home)) if not (x.type == fs.FileType.Directory and x.base_name in skip) and not (isinstance(system, fs.LocalFileSystem) and os.path.islink(x.path))]
+    passed = frozenset(skip)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, home = _file_system(root)
+        for batch in batches:
+            for name, folder, size in zip(*(c.to_pylist() for c in batch.columns)):
+                rows = ((os.path.relpath(p, home), n) for p, n in _below(system, f"{home}/{name}", passed)) if folder else iter([(name, size)])
+                while some := list(islice(rows, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.string()), pa.array([r[1] for r in some], pa.int64())], names=["path", "length"])
+
+    ship(spark)
+    rows = spark.createDataFrame(top, "path string, folder boolean, length long")
+    return rows.repartition(max(1, min(len(top), 1024))).mapInArrow(run, "path string, length long")
+
+
+def contents(files: DataFrame, root: str) -> DataFrame:
+    """files (path, length, ...) with their bytes as content; those that are no longer there are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, home = _file_system(root)
+        for batch in batches:
+            for k, path in enumerate(batch.column("path").to_pylist()):  # one file at a time, however long
+                try:
+                    with system.open_input_stream(f"{home}/{path}") as stream:
+                        data = stream.read()
+                except OSError:
+                    continue
+                yield pa.RecordBatch.from_arrays([*batch.slice(k, 1).columns, pa.array([data], pa.binary())], names=[*batch.schema.names, "content"])
+
+    ship(files.sparkSession)
+    return files.mapInArrow(run, T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType())]))
+
+
 def walk(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
     """(path, language, blob_sha, length, content) of the supported files below root, as the rules leave them."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    home = re.escape(root.rstrip("/").removeprefix("file://"))
-    files = raw.select(F.regexp_replace("path", rf"^(?:file:)?/*?{home}/", "").alias("path"), "length", "content")
-    plain = files.filter(~in_pruned_dir(F.col("path")))
-    rules = ignore_rules({r.path: bytes(r.content).decode("utf-8", "replace") for r in plain.filter(F.substring_index("path", "/", -1).isin(*IGNORE_FILES)).select("path", "content").collect()})
+    plain = listing(spark, root, PRUNED)
+    rules = ignore_rules({r.path: bytes(r.content).decode("utf-8", "replace") for r in contents(plain.filter(F.substring_index("path", "/", -1).isin(*IGNORE_FILES)), root).select("path", "content").collect()})
     kept = plain.filter(~is_sensitive(F.col("path")) & ~is_ignored(F.col("path"), rules)).withColumn("language", language_of(F.col("path"))).filter("language IS NOT NULL")
-    kept = kept.withColumn("blob_sha", F.sha1("content"))
-    return kept.select("path", "language", "blob_sha", "length", *(["content"] if content else []))
+    read = contents(kept, root).withColumn("blob_sha", F.sha1("content"))
+    return read.select("path", "language", "blob_sha", "length", *(["content"] if content else []))
+
+
+def everything(spark: SparkSession, root: str) -> DataFrame:
+    """(path, length) of all files below root, whatever the rules say."""
+    return listing(spark, root)
 
 
 def oversized(files: DataFrame) -> DataFrame:
@@ -99,6 +178,12 @@ def read_truth(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return header, rows.filter("caller IS NOT NULL").select("caller", "callee")
 
 
+def write_truth(header: DataFrame, edges: DataFrame, path: str) -> None:
+    """An oracle's lines of JSON, packed: what read_truth reads. The header is a line like the others, wherever it comes."""
+    lines = header.select(F.to_json(F.struct("schema", "repo", "commit", "generator", "functions")).alias("value")).unionByName(edges.select(F.to_json(F.struct("caller", "callee")).alias("value")))
+    lines.write.mode("error").option("compression", "gzip").text(path)
+
+
 def read_baseline(spark: SparkSession, path: str, values: str = "commit string, precision double, recall double, minUniverse double, tolerance double") -> DataFrame:
     """A baseline's JSON object of repositories, a row each."""
     text = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string, struct<{values.replace(' string', ':string').replace(' double', ':double')}>>").alias("m"))

@@ -29,7 +29,10 @@ def upsert_batch(store: Store, files: DataFrame) -> int:
 
 
 def follow(spark: SparkSession, folder: str, store: Store, checkpoint: str) -> StreamingQuery:
-    """Starts a query that indexes what lands in the folder, and ends when all of it is done."""
+    """Starts a query that indexes what lands in the folder, and ends when all of it is done.
+
+    Spark's file stream passes over names that begin with _ or a dot and over empty files; Engine.index finds these too.
+    """
     raw = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
     home = folder.rstrip("/").removeprefix("file://")
     named = raw.select(F.regexp_replace("path", rf"^(?:file:)?/*{home.lstrip('/')}/", "").alias("path"), "content")
