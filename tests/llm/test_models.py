@@ -2,9 +2,11 @@
 
 import math
 from collections import Counter
+from hashlib import md5
 from random import Random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -191,6 +193,76 @@ def test_the_sample_is_bounded_in_rows_and_bytes(spark):
     assert all((r["doc_id"], r["text"]) in text for r in few) and few == toxicity.training_rows(df.repartition(3), labels, {0: 30, 1: 40}, 9000, "x").to_pylist()
 
 
+def test_every_labelled_row_trains_or_calibrates(spark, monkeypatch):
+    """More rows of either class than a sample held before; each is a word of its own, whose row of the embedding tells whether it was trained on."""
+    n = 13_200
+    words = [md5(str(i).encode()).hexdigest()[:10] for i in range(n)]
+    docs = spark.createDataFrame([(i, w, "en", "s", 1) for i, w in enumerate(words)], DOCS)
+    labels = spark.createDataFrame([(i, 1, int(i < 5200)) for i in range(n)], "doc_id long, quality int, toxic int")
+    seen, plain = [], toxicity.calibrate
+    monkeypatch.setattr(toxicity, "calibrate", lambda held, *rest: seen.append(len(held) if isinstance(held, np.ndarray) else held.count()) or plain(held, *rest))
+    model = toxicity.fit(docs, labels)
+    start = toxicity.train([np.zeros((1, 3), np.int64)], np.ones(1, np.float32), epochs=0)
+    rows = toxicity.word_ids(pa.array(words))[0][:, 0]
+    assert seen == [n // 4]
+    assert (model.embedding[rows] != start.embedding[rows]).any(1).mean() > 0.74
+
+
+def test_lanes_hold_each_labelled_row_once(spark, odd):
+    docs, labels = labelled(300, 8)
+    docs += docs[:50] * 2 + [(7, "another text of the same id", None, "s", 1), (None, "no id", "en", "s", 1), (8, " ... ", "en", "s", 1), (9, docs[9][1], "aa", "s", 1)]
+    train = spark.createDataFrame([*labels[:200], (3, 0, 1), (250, 1, None), (None, 1, 1), (251, 1, 7)], "doc_id long, quality int, toxic int")
+    df = spark.createDataFrame(docs, DOCS)
+    lanes = toxicity.lanes_of(df, train, "x", 40, 1 << 20)
+    truth = {i: t for i, _, t in labels[:200]} | {3: 1}
+    want = {}
+    for i, text, lang, _, _ in docs:
+        if i in truth and text.strip(" ."):
+            want[i, text] = min((lang or "~", want.get((i, text), "~")))
+    got = Counter()
+    for r in lanes.collect():
+        ends = np.cumsum(np.frombuffer(r["length"], np.int64))
+        words = np.split(np.frombuffer(r["words"], np.uint16).reshape(-1, 3), ends[:-1])
+        assert len(ends) == r.bad + r.clean and sum(r["toxic"]) == r.bad
+        got.update((w.tobytes(), t, x or "~") for w, t, x in zip(words, r["toxic"], r["lang"]))
+    assert got == Counter(((toxicity.word_ids(pa.array([text]))[0] - toxicity.BASE).astype(np.uint16).tobytes(), truth[i], lang) for (i, text), lang in want.items())
+    assert lanes.count() > 3 and lanes.count() == lanes.select("lane").distinct().count()
+    # the model doesn't hang on partitions
+    one, two = (toxicity.fit(x, train, epochs=2, lane_rows=40) for x in (df, df.repartition(7)))
+    assert (one.embedding == two.embedding).all() and one.thresholds == two.thresholds and one.bias == two.bias
+
+
+def test_thresholds_equal_those_of_sorted_scores(spark):
+    rng = np.random.default_rng(4)
+    rows = [(lang, t, np.float32(1 / (1 + np.exp(-rng.normal(2 * t - 1, 1.5))))) for lang, n in (("en", 900), ("fr", 300), (None, 60), ("", 30), ("de", 25)) for t in rng.integers(0, 2, n).tolist()]
+    rows += [("en", 1, np.float32(1)), ("en", 0, np.float32(0))] * 3
+
+    def cut(own):
+        clean, bad = (sorted(float(p) for _, t, p in own if t == c) for c in (0, 1))
+        low = clean[max(0, len(clean) - 1 - int(0.05 * len(clean)))]
+        above = [p for p in bad if p > low]
+        logit = lambda p: math.log(max(p, 1e-9) / max(1 - p, 1e-9))
+        return min(0.98, max(0.05, 1 / (1 + math.exp(-(logit(low) + logit(above[int(0.02 * len(above))] if above else 1.0)) / 2))))
+
+    held = spark.createDataFrame([(x, t, int(p.view(np.int32))) for x, t, p in rows], "lang string, toxic int, bits int")
+    by, common = toxicity.calibrate(held, 0.05)
+    groups = {x: [r for r in rows if (r[0] or "") == x] for x in ("en", "fr", "", "de")}
+    assert by == pytest.approx({x: cut(g) for x, g in groups.items() if min(sum(t == c for _, t, _ in g) for c in (0, 1)) >= 20}) and common == pytest.approx(cut(rows))
+    assert set(by) == {"en", "fr", ""} and toxicity.calibrate(held.filter("toxic = 0")) == ({}, 0.5)
+
+
+def test_winners_are_the_same_in_pieces():
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(0, 50, (k, 3)) for k in (1, 2, 9, 40, 3)]
+    m = toxicity.train(texts, np.array([0.0, 1.0, 0.0, 1.0, 0.0], np.float32), epochs=1)
+    ids, doc = np.concatenate(texts), np.repeat(np.arange(5), [len(t) for t in texts])
+    pooled, winner = toxicity._winners(m, ids, doc, 5)
+    assert pooled == pytest.approx(m.pooled(ids, doc, 5), abs=1e-5) and ((winner >= 0) == (pooled > 0)).all()
+    for step in (1, 4, 7):
+        in_pieces = toxicity._winners(m, ids, doc, 5, step)
+        assert in_pieces[0] == pytest.approx(pooled, abs=1e-6) and (in_pieces[1] == winner).mean() > 0.95
+
+
 def test_toxicity_odd_rows(spark, odd, empty):
     docs, labels = labelled(300, 3)
     train = spark.createDataFrame([*labels, (None, 1, 1), (5, None, None), (5, 0, 1), (5, 0, 0)], "doc_id long, quality int, toxic int")
