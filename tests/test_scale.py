@@ -21,7 +21,7 @@ def shuffled(spark, df):
     return total() - before
 
 
-CALL_QUERIES = ["callee_resolution_tiers", "fanout_cap"]
+CALL_QUERIES = ["callee_resolution_tiers", "fanout_cap", "keep_if_any_arity"]
 
 
 def plain_narrow(sites, targets):
