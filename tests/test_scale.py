@@ -21,7 +21,7 @@ def shuffled(spark, df):
     return total() - before
 
 
-CALL_QUERIES = ["callee_resolution_tiers", "fanout_cap", "keep_if_any_arity"]
+CALL_QUERIES = ["callee_resolution_tiers", "fanout_cap", "keep_if_any_arity", "receiver_narrowing"]
 
 
 def plain_narrow(sites, targets):
