@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.intervals import overlapping
+from tessera.operators.intervals import overlapping, touched
 from tessera.operators.traverse import covering, followed, inbound
 from tessera.policy import DIAGNOSTIC, TraversalPolicy
 from tessera.runtime import materialize, ship
@@ -124,11 +124,20 @@ def diff_hunks(diffs: DataFrame) -> DataFrame:
     return diffs.select(F.col("diff_id").cast("string"), F.col("unified_diff").cast("string")).mapInPandas(run, FILES)
 
 
+def _sides(hunks: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
+    h = hunks.filter("new_start IS NOT NULL AND NOT deleted AND NOT binary").select("diff_id", "hunk", F.col("path").alias("file_path"), "new_start", "new_end")
+    return h, symbols.select("id", "file_path", "kind", "name", "language", F.col("span.start").alias("span_start"), F.col("span.end").alias("span_end"), "annotations")
+
+
 def changed_symbols(hunks: DataFrame, symbols: DataFrame) -> DataFrame:
     """(diff_id, hunk, symbol columns): symbols whose lines a hunk touches, documents and files aside."""
-    h = hunks.filter("new_start IS NOT NULL AND NOT deleted AND NOT binary").select("diff_id", "hunk", F.col("path").alias("file_path"), "new_start", "new_end")
-    s = symbols.select("id", "file_path", "kind", "name", "language", F.col("span.start").alias("span_start"), F.col("span.end").alias("span_end"), "annotations")
-    return overlapping(h, s, "file_path", ("new_start", "new_end"), ("span_start", "span_end"))
+    return overlapping(*_sides(hunks, symbols), "file_path", ("new_start", "new_end"), ("span_start", "span_end"))
+
+
+def touched_symbols(hunks: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(symbol columns): the symbols of changed_symbols, without the hunks, each row once however many touch it."""
+    h, s = _sides(hunks, symbols)
+    return touched(s, h, "file_path", ("span_start", "span_end"), ("new_start", "new_end"))
 
 
 def file_findings(hunks: DataFrame, manifest: DataFrame, current: DataFrame, mapped: DataFrame) -> DataFrame:

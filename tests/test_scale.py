@@ -83,3 +83,28 @@ def test_call_queries_equal_sql_with_parts_of_two_names(spark, tmp_path):
     for name in CALL_QUERIES:
         got = sorted(tuple(r) for r in contract.queries()[name](spark, str(tmp_path)).select("site", "target").collect())
         assert got == sorted(con.execute(f"SELECT site, target FROM ({contract.oracle_sql()[name]})").fetchall()), name
+
+
+def spans_and_points(seed):
+    rng = Random(seed)
+    lines = lambda: (a := rng.randrange(-1, 150), a + rng.randrange(-1, 90))
+    return [(f"s{rng.randrange(25)}", rng.choice("fg"), *lines()) for _ in range(40)], [(rng.randrange(25), rng.choice("fgh"), *lines()) for _ in range(40)]
+
+
+def meets(a, b, c, d):
+    return min(a, b, c, d) > 0 and a <= b and c <= d and a <= d and c <= b
+
+
+def test_touched_equals_all_pairs_and_shuffles_ranges_alone(spark):
+    from tessera.operators import certify
+
+    for seed in range(3):
+        left, right = spans_and_points(seed)
+        hunks = spark.createDataFrame([("d", h, f, False, False, a, b) for h, f, a, b in right], "diff_id string, hunk int, path string, deleted boolean, binary boolean, new_start int, new_end int")
+        symbols = spark.createDataFrame([(i, f, "function", i, "go", (a, b), []) for i, f, a, b in left], "id string, file_path string, kind string, name string, language string, span struct<start:int,end:int>, annotations array<string>")
+        want = sorted((i, f, a, b) for i, f, a, b in left if any(f == g and meets(a, b, c, d) for _, g, c, d in right))
+        assert sorted(map(tuple, certify.touched_symbols(hunks, symbols).select("id", "file_path", "span_start", "span_end").collect())) == want
+    n = 20_000
+    hunks = spark.range(n).selectExpr("'d' AS diff_id", "CAST(id AS int) AS hunk", "'f' AS path", "false AS deleted", "false AS binary", "CAST(1 + id % 9 AS int) AS new_start", "CAST(9 AS int) AS new_end")
+    symbols = spark.range(n).selectExpr("CAST(id AS string) AS id", "'f' AS file_path", "'function' AS kind", "'x' AS name", "'go' AS language", "named_struct('start', CAST(1 + id % 5 AS int), 'end', 7) AS span", "array('') AS annotations")
+    assert certify.touched_symbols(hunks, symbols).count() == n  # all pairs would be four hundred million
