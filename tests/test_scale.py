@@ -108,3 +108,28 @@ def test_touched_equals_all_pairs_and_shuffles_ranges_alone(spark):
     hunks = spark.range(n).selectExpr("'d' AS diff_id", "CAST(id AS int) AS hunk", "'f' AS path", "false AS deleted", "false AS binary", "CAST(1 + id % 9 AS int) AS new_start", "CAST(9 AS int) AS new_end")
     symbols = spark.range(n).selectExpr("CAST(id AS string) AS id", "'f' AS file_path", "'function' AS kind", "'x' AS name", "'go' AS language", "named_struct('start', CAST(1 + id % 5 AS int), 'end', 7) AS span", "array('') AS annotations")
     assert certify.touched_symbols(hunks, symbols).count() == n  # all pairs would be four hundred million
+
+
+def test_overlap_counts_equal_all_pairs(spark):
+    """Ids with several ranges, of which some repeat, beside ids with one."""
+    from collections import Counter
+
+    from tessera.operators.intervals import overlap_counts
+
+    for seed in range(3):
+        left, right = spans_and_points(seed)
+        right += right[:3] + [(100 + i, "f", 10 * i + 1, 10 * i + 8) for i in range(9)]
+        got = overlap_counts(spark.createDataFrame(right, "hunk int, file string, lo int, hi int"), spark.createDataFrame(left, "id string, file string, a int, b int"), "file", ("lo", "hi"), ("a", "b"), "hunk", "id", 16).collect()
+        want = Counter((h, i) for h, f, a, b in right for i, g, c, d in left if f == g and meets(a, b, c, d))
+        assert len(got) == len(want) and {(r.hunk, r.id): r.n for r in got} == dict(want)
+
+
+def test_overlap_counts_shuffle_no_pairs(spark):
+    from tessera.operators.intervals import overlap_counts
+
+    n = 2000
+    a = spark.range(n).selectExpr("id AS hunk", "'f' AS file", "1 + id % 3 AS lo", "5L AS hi")
+    b = spark.range(n).selectExpr("CAST(id AS string) AS id", "'f' AS file", "1 + id % 5 AS a", "9L AS b")
+    found = overlap_counts(a, b, "file", ("lo", "hi"), ("a", "b"), "hunk", "id")
+    assert shuffled(spark, found) < 2_000_000  # of four million pairs
+    assert found.count() == n * n
