@@ -14,8 +14,9 @@ from tessera.schemas import CALLABLE
 
 def match_declarations(decls: DataFrame, symbols: DataFrame) -> DataFrame:
     """decls (file, line, name) with the id of the smallest symbol that holds the line and has the name."""
-    spans = symbols.select(F.col("file_path").alias("file"), "id", F.col("name").alias("symbol_name"), F.col("span.start").alias("span_start"), F.col("span.end").alias("span_end"))
-    return tightest(decls, spans, "file", "line", ("span_start", "span_end"), ["file", "line", "name"], "id", F.lower("symbol_name") == F.lower("name")).select("file", "line", "name", "id")
+    spans = symbols.select(F.col("file_path").alias("file"), "id", F.lower("name").alias("low_name"), F.col("span.start").alias("span_start"), F.col("span.end").alias("span_end"))
+    asked = decls.select("file", "line", "name", F.lower("name").alias("low_name"))
+    return tightest(asked, spans, ["file", "low_name"], "line", ("span_start", "span_end"), ["file", "line", "name"], "id").select("file", "line", "name", "id")
 
 
 def score_edges(truth: DataFrame, predicted: DataFrame, universe: DataFrame | None = None) -> DataFrame:

@@ -133,3 +133,23 @@ def test_overlap_counts_shuffle_no_pairs(spark):
     found = overlap_counts(a, b, "file", ("lo", "hi"), ("a", "b"), "hunk", "id")
     assert shuffled(spark, found) < 2_000_000  # of four million pairs
     assert found.count() == n * n
+
+
+def test_tightest_equals_all_pairs_and_compares_distinct_spans(spark):
+    """An identity may have several points; equal spans go by the tie."""
+    from tessera.operators.intervals import tightest
+
+    for seed in range(3):
+        left, right = spans_and_points(seed)
+        points = [(h, f, a) for h, f, a, _ in right]
+        got = tightest(spark.createDataFrame(points, "hunk int, file string, at int"), spark.createDataFrame(left + left[:5], "id string, file string, a int, b int"), "file", "at", ("a", "b"), ["hunk"], "id").collect()
+        want = {}
+        for h, f, at in points:
+            for i, g, a, b in left:
+                if f == g and meets(a, b, at, at):
+                    want[h] = min(want.get(h, (999, "")), (b - a, i))
+        assert {r.hunk: (r.b - r.a, r.id) for r in got} == want and len(got) == len(want)
+    n = 20_000
+    points = spark.range(n).selectExpr("id AS hunk", "'f' AS file", "3 + id % 2 AS at")
+    spans = spark.range(n).selectExpr("id AS sid", "'f' AS file", "1 + id % 2 AS a", "9L AS b")
+    assert {r.sid for r in tightest(points, spans, "file", "at", ("a", "b"), ["hunk"], "sid").collect()} == {1}  # all pairs would be four hundred million
