@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import half_up_4
-from tessera.operators.intervals import overlapping, tightest
+from tessera.operators.intervals import overlapping, tightest, touched
 from tessera.operators.traverse import best_product, inbound_each
 from tessera.runtime import fresh
 from tessera.schemas import CALLABLE
@@ -87,15 +87,17 @@ def universe_report(decls: DataFrame, matched: DataFrame, symbols: DataFrame) ->
     'no-symbols': the file has none; 'no-span': none holds the line; 'not-callable': one that does has the name but is no callable; 'name-disagrees': a callable does, under another name.
     """
     lost = decls.select("file", "line", "name").distinct().join(matched.select("file", "line", "name").distinct(), ["file", "line", "name"], "left_anti")
-    spans = symbols.select(F.col("file_path").alias("file"), F.col("name").alias("symbol_name"), F.col("kind").isin(*CALLABLE).alias("callable"), F.col("span.start").alias("span_start"), F.col("span.end").alias("span_end"))
-    points = lost.withColumns({"low": F.col("line"), "high": F.col("line")})
-    inside = overlapping(points, spans, "file", ("low", "high"), ("span_start", "span_end"))
-    base = F.substring_index("name", ".", -1)
-    named = (F.col("symbol_name") == base) | (F.col("symbol_name") == F.col("name")) | F.col("symbol_name").endswith(F.concat(F.lit("."), base))
-    flags = inside.groupBy("file", "line", "name").agg(F.max(named & ~F.col("callable")).alias("other_kind"), F.max(~named & F.col("callable")).alias("other_name"))
+    # a name's part after its last dot decides whether it agrees: spans of that name are asked for by it, and of others one of the first and the last name is another
+    last = lambda c: F.substring_index(c, ".", -1)
+    spans = symbols.filter("name IS NOT NULL").select(F.col("file_path").alias("file"), last("name").alias("base"), F.col("kind").isin(*CALLABLE).alias("callable"), F.col("span.start").alias("span_start"), F.col("span.end").alias("span_end"))
+    lost = lost.withColumn("base", last("name"))
+    points = lost.select("file", "base", F.col("line").alias("low")).distinct().withColumn("high", F.col("low"))
+    other_kind = touched(points, spans.filter("NOT callable"), ["file", "base"], ("low", "high"), ("span_start", "span_end")).select("file", "base", F.col("low").alias("line"), F.lit(True).alias("other_kind"))
+    ends = spans.filter("callable").groupBy("file", "span_start", "span_end").agg(F.min("base").alias("first"), F.max("base").alias("last"))
+    lines = overlapping(points.select("file", "low", "high").distinct(), ends, "file", ("low", "high"), ("span_start", "span_end")).groupBy("file", F.col("low").alias("line")).agg(F.min("first").alias("first"), F.max("last").alias("last"))
     known = symbols.select(F.col("file_path").alias("file"), F.lit(True).alias("has")).distinct()
-    why = F.when(F.col("has").isNull(), "no-symbols").when(F.col("other_kind"), "not-callable").when(F.col("other_name"), "name-disagrees").otherwise("no-span")
-    return lost.join(known, "file", "left").join(flags, ["file", "line", "name"], "left").groupBy(why.alias("why")).agg(F.count("*").alias("n"))
+    why = F.when(F.col("has").isNull(), "no-symbols").when(F.col("other_kind"), "not-callable").when((F.col("first") != F.col("base")) | (F.col("last") != F.col("base")), "name-disagrees").otherwise("no-span")
+    return lost.join(known, "file", "left").join(other_kind, ["file", "base", "line"], "left").join(lines, ["file", "line"], "left").groupBy(why.alias("why")).agg(F.count("*").alias("n"))
 
 
 def outside_oracle(language: Column, file: Column, name: Column) -> Column:

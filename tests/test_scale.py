@@ -153,3 +153,35 @@ def test_tightest_equals_all_pairs_and_compares_distinct_spans(spark):
     points = spark.range(n).selectExpr("id AS hunk", "'f' AS file", "3 + id % 2 AS at")
     spans = spark.range(n).selectExpr("id AS sid", "'f' AS file", "1 + id % 2 AS a", "9L AS b")
     assert {r.sid for r in tightest(points, spans, "file", "at", ("a", "b"), ["hunk"], "sid").collect()} == {1}  # all pairs would be four hundred million
+
+
+def test_universe_report_equals_all_pairs(spark):
+    """Names with dots, without a part after the last, repeated, and null; and as many declarations of one line as their pairs could not be listed."""
+    from collections import Counter
+
+    from tessera.operators import evals
+
+    names = ["a", "x.a", "b", "y.z.b", "c.", "", "a.b", None]
+    shape = "file_path string, name string, kind string, span struct<start:int,end:int>"
+    for seed in range(4):
+        rng = Random(seed)
+        symbols = [(rng.choice("fg"), rng.choice(names), rng.choice(["function", "class", None]), (a := rng.randrange(0, 90), a + rng.randrange(-1, 80))) for _ in range(9)]
+        decls = [(rng.choice("fgh"), rng.randrange(0, 150), rng.choice(names)) for _ in range(60)]
+        want = Counter()
+        for file, line, name in set(decls):
+            here = [(n, k) for f, n, k, (a, b) in symbols if f == file and 0 < a <= line <= b]
+            named = lambda n: name is not None and n is not None and (n in (name, name.rsplit(".")[-1]) or n.endswith("." + name.rsplit(".")[-1]))
+            if file not in {s[0] for s in symbols}:
+                want["no-symbols"] += 1
+            elif name is not None and any(named(n) and k == "class" for n, k in here):
+                want["not-callable"] += 1
+            elif name is not None and any(n is not None and not named(n) and k == "function" for n, k in here):
+                want["name-disagrees"] += 1
+            else:
+                want["no-span"] += 1
+        df = spark.createDataFrame(decls, "file string, line int, name string")
+        assert {r.why: r.n for r in evals.universe_report(df, df.limit(0), spark.createDataFrame(symbols, shape)).collect()} == dict(want)
+    n = 20_000
+    df = spark.range(n).selectExpr("'f' AS file", "5 AS line", "CAST(id AS string) AS name")
+    symbols = spark.range(n).selectExpr("'f' AS file_path", "CAST(id AS string) AS name", "IF(id % 2 = 0, 'class', 'function') AS kind", "named_struct('start', 1, 'end', 9) AS span")
+    assert {r.why: r.n for r in evals.universe_report(df, df.limit(0), symbols).collect()} == {"not-callable": n // 2, "name-disagrees": n // 2}
