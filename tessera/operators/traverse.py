@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.policy import DIAGNOSTIC, TESTS, TraversalPolicy
@@ -62,6 +62,28 @@ def inbound_each(links: DataFrame, seeds: DataFrame, max_depth: int) -> DataFram
     return visited
 
 
+def reach_counts(links: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
+    """(seed, depth, nodes): how many nodes inbound_each finds for each seed at each depth, which are not listed for it.
+
+    The seeds are numbered and a node holds those that reach it in an array: what is shuffled is a row for each link and not for each
+    pair of seed and node, and pairs are counted in the task that has the node.
+    """
+    links = materialize(links.dropna(subset=["src", "dst"]), "links")
+    numbered = materialize(seeds.select("node").dropna().distinct().withColumn("k", F.row_number().over(Window.orderBy("node"))), "seeds")
+    frontier = known = numbered.select("node", F.array("k").alias("ks"))
+    counts = numbered.select("k", F.lit(0).alias("depth"), F.lit(1).cast("long").alias("nodes"))
+    none = F.lit(None).cast("array<int>")
+    for depth in range(1, max_depth + 1):
+        came = links.join(frontier.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), "ks", none.alias("had"))
+        met = came.unionByName(known.select("node", none.alias("ks"), F.col("ks").alias("had"))).groupBy("node").agg(F.flatten(F.collect_list("ks")).alias("ks"), F.flatten(F.collect_list("had")).alias("had"))
+        step = met.select("node", F.array_except("ks", "had").alias("ks")).filter(F.size("ks") > 0)  # of what is excepted each value stays once
+        if depth < max_depth:
+            step = frontier = materialize(step, "frontier")
+            known = known.unionByName(frontier)
+        counts = counts.unionByName(step.select(F.explode("ks").alias("k")).groupBy("k").agg(F.count("*").alias("nodes")).select("k", F.lit(depth).alias("depth"), "nodes"))
+    return counts.join(numbered.withColumnRenamed("node", "seed"), "k").select("seed", "depth", "nodes")
+
+
 def best_product(edges: DataFrame, seeds: DataFrame, floor: float, max_depth: int) -> DataFrame:
     """(seed, node, product): the greatest product of confidences on a path of at most max_depth hops to the seed, not below floor."""
     links = materialize(edges.dropna(subset=["src", "dst"]).groupBy("src", "dst").agg(F.max("confidence").alias("confidence")), "links")

@@ -185,3 +185,32 @@ def test_universe_report_equals_all_pairs(spark):
     df = spark.range(n).selectExpr("'f' AS file", "5 AS line", "CAST(id AS string) AS name")
     symbols = spark.range(n).selectExpr("'f' AS file_path", "CAST(id AS string) AS name", "IF(id % 2 = 0, 'class', 'function') AS kind", "named_struct('start', 1, 'end', 9) AS span")
     assert {r.why: r.n for r in evals.universe_report(df, df.limit(0), symbols).collect()} == {"not-callable": n // 2, "name-disagrees": n // 2}
+
+
+def test_reach_counts_equal_each_seed_by_itself(spark):
+    from collections import Counter
+
+    from tests.test_graph import bfs, graph
+
+    from tessera.operators import traverse
+    from tessera.schemas import EDGES
+
+    rows = graph(9)
+    df = spark.createDataFrame([*rows, (None, "n1", "calls", 0.9, "ast", "")], EDGES)
+    names = ["n1", "n5", "n7", "alone"]
+    seeds = spark.createDataFrame([(n,) for n in [*names, "n1", None]], "node string")
+    for depth in (1, 2, 3):
+        got = traverse.reach_counts(df, seeds, depth).collect()
+        want = {(s, d): n for s in names for d, n in Counter(bfs(rows, [s], depth).values()).items()}
+        assert len(got) == len(want) and {(r.seed, r.depth): r.nodes for r in got} == want
+
+
+def test_counts_of_reach_shuffle_links_and_not_pairs(spark):
+    from tessera.operators import traverse
+
+    links = spark.range(20_000).selectExpr("concat('o', id % 4000) AS src", "concat('p', id % 1300) AS dst").unionByName(spark.range(65_000).selectExpr("concat('p', id % 1300) AS src", "concat('s', id * 7 % 900) AS dst"))
+    seeds = spark.range(900).selectExpr("concat('s', id) AS node")
+    found = traverse.reach_counts(links, seeds, 2)
+    assert shuffled(spark, found) < 6_000_000  # of a million pairs at the second hop
+    each = traverse.inbound_each(links, seeds, 2).groupBy("seed", "depth").count()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, each.collect()))
