@@ -85,21 +85,28 @@ def reach_counts(links: DataFrame, seeds: DataFrame, max_depth: int) -> DataFram
 
 
 def best_product(edges: DataFrame, seeds: DataFrame, floor: float, max_depth: int) -> DataFrame:
-    """(seed, node, product): the greatest product of confidences on a path of at most max_depth hops to the seed, not below floor."""
-    links = materialize(edges.dropna(subset=["src", "dst"]).groupBy("src", "dst").agg(F.max("confidence").alias("confidence")), "links")
-    frontier = materialize(seeds.select(F.col("node").alias("seed"), "node").dropna().distinct().withColumn("product", F.lit(1.0)), "best")
-    best = frontier
+    """(seed, node, product): the greatest product of confidences on a path of at most max_depth hops to the seed, not below floor.
+
+    A node's seeds with their products are an array: a hop shuffles a row for each link, and pairs of seed and node are reduced in the task that has the node.
+    """
+    links = materialize(edges.dropna(subset=["src", "dst", "confidence"]).select("src", "dst", "confidence"), "links")
+    best = frontier = materialize(seeds.select(F.col("node").alias("seed"), "node").dropna().distinct().select("node", F.array(F.struct("seed", F.lit(1.0).alias("product"))).alias("at")), "best")
     for depth in range(1, max_depth + 1):
-        step = links.join(frontier.select("seed", F.col("node").alias("dst"), "product"), "dst").select("seed", F.col("src").alias("node"), (F.col("product") * F.col("confidence")).alias("product"))
-        step = step.filter(F.col("product") >= floor).groupBy("seed", "node").agg(F.max("product").alias("product"))
+        tops = frontier.select(F.col("node").alias("dst"), "at", F.array_max(F.col("at.product")).alias("top"))
+        # with a floor above 0 all products are positive, and where the greatest falls under it all do
+        met = links.join(tops, "dst").filter(F.col("top") * F.col("confidence") >= floor if floor > 0 else F.lit(True))
+        kept = F.filter(F.transform("at", lambda x: F.struct(x["seed"].alias("seed"), (x["product"] * F.col("confidence")).alias("product"))), lambda x: x["product"] >= floor)
+        came = met.select(F.col("src").alias("node"), kept.alias("at"), F.lit(True).alias("new"))
+        both = came.unionByName(best.select("node", "at", F.lit(False).alias("new"))).repartition("node").select("node", "new", F.explode("at").alias("x")).select("node", "new", "x.*")
         if depth == max_depth:
-            return best.unionByName(step).groupBy("seed", "node").agg(F.max("product").alias("product"))
-        known = best.select("seed", "node", F.col("product").alias("known"))
-        frontier = materialize(step.join(known, ["seed", "node"], "left").filter("known IS NULL OR product > known").drop("known"), "frontier")
+            return both.groupBy("node", "seed").agg(F.max("product").alias("product")).select("seed", "node", "product")
+        reached = both.groupBy("node", "seed").agg(F.max(F.when(F.col("new"), F.col("product"))).alias("product"), F.max(F.when(~F.col("new"), F.col("product"))).alias("known"))
+        better = F.when(F.col("known").isNull() | (F.col("product") > F.col("known")), F.struct("seed", "product"))
+        step = materialize(reached.groupBy("node").agg(F.collect_list(better).alias("frontier"), F.collect_list(F.struct("seed", F.greatest("product", "known").alias("product"))).alias("at")), "best")
+        frontier, best = step.filter(F.size("frontier") > 0).select("node", F.col("frontier").alias("at")), step.select("node", "at")
         if frontier.isEmpty():
             break
-        best = materialize(best.unionByName(frontier).groupBy("seed", "node").agg(F.max("product").alias("product")), "best")
-    return best
+    return best.select("node", F.explode("at").alias("x")).select("x.seed", "node", "x.product")
 
 
 def seeds_of(symbols: DataFrame, query: str) -> DataFrame:

@@ -214,3 +214,13 @@ def test_counts_of_reach_shuffle_links_and_not_pairs(spark):
     assert shuffled(spark, found) < 6_000_000  # of a million pairs at the second hop
     each = traverse.inbound_each(links, seeds, 2).groupBy("seed", "depth").count()
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, each.collect()))
+
+
+def test_products_shuffle_links_once(spark):
+    from tessera.operators import traverse
+
+    links = spark.range(30_000).selectExpr("concat('o', id % 6000) AS src", "concat('p', id % 1300) AS dst", "0.9D AS confidence").unionByName(spark.range(13_000).selectExpr("concat('p', id % 1300) AS src", "concat('s', id * 7 % 10) AS dst", "0.9D AS confidence"))
+    seeds = spark.range(10).selectExpr("concat('s', id) AS node")
+    found = traverse.best_product(links, seeds, 0.6, 2)
+    assert shuffled(spark, found) < 1_500_000
+    assert {(r.product, r.n) for r in found.groupBy(F.round("product", 6).alias("product")).agg(F.count("*").alias("n")).collect()} == {(1.0, 10), (0.9, 1300), (0.81, 6000)}
