@@ -23,25 +23,41 @@ def confidence(seeds):
     return F.when(seeds == 0, 0.2).when(seeds < 3, 0.65).when(seeds < 10, 0.8).otherwise(0.9)
 
 
+def _hits_and_boundary(symbols: DataFrame, edges: DataFrame, intent: str, seeds: int) -> tuple[DataFrame, DataFrame]:
+    found = lexical(symbols, intent, seeds) if intent.strip() else symbols.withColumn("rank", F.lit(0)).limit(0)
+    hits = found.select("id", "file_path")
+    files = hits.select("file_path").distinct()
+    marked = edges.select("src", "dst", "type", F.explode(F.array_distinct(F.array(F.regexp_replace(F.substring_index("src", "::", 1), "^file:", ""), F.when(F.contains("dst", F.lit("::")), F.substring_index("dst", "::", 1))))).alias("file_path"))
+    return hits, marked.join(F.broadcast(files), "file_path").select("src", "dst", "type").distinct()
+
+
+def _claimed(hits: DataFrame) -> DataFrame:
+    return hits.agg(F.array_sort(F.collect_set("id")).alias("exclusive"), F.array_sort(F.collect_set("file_path")).alias("exclusive_files"), F.count("*").alias("n"))
+
+
 def isolated_region(symbols: DataFrame, edges: DataFrame, intent: str, seeds: int = 20) -> DataFrame:
     """One row: the region that an intent should change. An empty intent has an empty region.
 
     exclusive symbols are the intent's best lexical hits; their files are exclusive; boundary edges
-    touch those files; shared reads are the ends of the boundary.
+    touch those files; shared reads are the ends of the boundary. The boundary is in the row: where
+    its size is enough, region_size counts it.
     """
-    found = lexical(symbols, intent, seeds) if intent.strip() else symbols.withColumn("rank", F.lit(0)).limit(0)
-    hits = found.select("id", "file_path")
-    files = hits.select("file_path").distinct()
-    marked = edges.select("src", "dst", "type", F.explode(F.array_distinct(F.array(F.regexp_replace(F.substring_index("src", "::", 1), "^file:", ""), F.when(F.contains("dst", F.lit("::")), F.substring_index("dst", "::", 1))))).alias("file_path"))
-    boundary = marked.join(F.broadcast(files), "file_path").select("src", "dst", "type").distinct()
-    a = hits.agg(F.array_sort(F.collect_set("id")).alias("exclusive"), F.array_sort(F.collect_set("file_path")).alias("exclusive_files"), F.count("*").alias("n"))
+    hits, boundary = _hits_and_boundary(symbols, edges, intent, seeds)
     b = boundary.agg(F.array_sort(F.collect_set(F.concat_ws("::", "src", "type", "dst"))).alias("boundary"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array("src", "dst"))))).alias("shared_read"))
-    return a.crossJoin(b).select(
+    return _claimed(hits).crossJoin(b).select(
         F.lit(intent).alias("intent"), F.lit(intent_id(intent)).alias("intent_id"), "exclusive", "exclusive_files", F.col("exclusive_files").alias("readable_files"), "boundary", "shared_read",
         F.transform("exclusive_files", lambda f: F.concat(F.lit(LOCK_PREFIX), f)).alias("lock_keys"), confidence(F.col("n")).alias("confidence"),
     )
 
 
+def region_size(symbols: DataFrame, edges: DataFrame, intent: str, seeds: int = 20) -> DataFrame:
+    """One row (exclusive, exclusive_files, boundary, shared_read, confidence) as isolated_region has it, with the numbers of boundary edges and shared reads, which no task gathers."""
+    hits, boundary = _hits_and_boundary(symbols, edges, intent, seeds)
+    b = boundary.select(F.concat_ws("::", "src", "type", "dst")).distinct().agg(F.count(F.lit(1)).alias("boundary"))
+    r = boundary.select(F.explode(F.array("src", "dst"))).distinct().agg(F.count(F.lit(1)).alias("shared_read"))
+    return _claimed(hits).crossJoin(b).crossJoin(r).select("exclusive", "exclusive_files", "boundary", "shared_read", confidence(F.col("n")).alias("confidence"))
+
+
 def conflicts(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: the symbols and files that two regions both claim."""
     x, y = a.select(F.struct("exclusive", "exclusive_files").alias("a")), b.select(F.struct("exclusive", "exclusive_files").alias("b"))

@@ -224,3 +224,13 @@ def test_products_shuffle_links_once(spark):
     found = traverse.best_product(links, seeds, 0.6, 2)
     assert shuffled(spark, found) < 1_500_000
     assert {(r.product, r.n) for r in found.groupBy(F.round("product", 6).alias("product")).agg(F.count("*").alias("n")).collect()} == {(1.0, 10), (0.9, 1300), (0.81, 6000)}
+
+
+def test_region_size_equals_the_region_and_gathers_no_boundary(spark):
+    from tessera.operators import region
+
+    symbols = spark.range(40).selectExpr("concat('p', id) AS id", "'a.py' AS file_path", "concat('bolt', id) AS name", "'q' AS qualified_name", "'s' AS signature", "named_struct('start', 1, 'end', 2) AS span")
+    edges = spark.range(3000).selectExpr("IF(id % 7 = 0, 'b.py::x', concat('a.py::', id % 900)) AS src", "IF(id % 11 = 0, NULL, concat('s::', id % 70)) AS dst", "'calls' AS type")
+    for intent in ("bolt", "nothing", " "):
+        whole = region.isolated_region(symbols, edges, intent).selectExpr("exclusive", "exclusive_files", "CAST(size(boundary) AS long) AS boundary", "CAST(size(shared_read) AS long) AS shared_read", "confidence").first()
+        assert region.region_size(symbols, edges, intent).first() == whole
