@@ -234,3 +234,15 @@ def test_region_size_equals_the_region_and_gathers_no_boundary(spark):
     for intent in ("bolt", "nothing", " "):
         whole = region.isolated_region(symbols, edges, intent).selectExpr("exclusive", "exclusive_files", "CAST(size(boundary) AS long) AS boundary", "CAST(size(shared_read) AS long) AS shared_read", "confidence").first()
         assert region.region_size(symbols, edges, intent).first() == whole
+
+
+def test_contains_deals_a_large_group_over_tasks(spark):
+    from tessera.operators.edges import contains
+
+    n = 1500
+    symbols = spark.range(n).selectExpr("concat('p', id) AS id", "'a.py' AS file_path", "IF(id % 2 = 0, 'class', 'method') AS kind", "IF(id % 3 = 0, 'Wheel', 'WHEEL') AS name", "'wheel' AS parent_symbol")
+    found = contains(symbols)
+    assert found.count() == n // 2 * (n - 1)
+    rows = [r.n for r in found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(rows) > 2 and max(rows) < n * n // 4
+    assert found.filter("src = 'p0'").select("dst").distinct().count() == n - 1
