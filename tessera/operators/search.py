@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import camel_tokens
@@ -42,8 +42,8 @@ def idf(counts: DataFrame) -> DataFrame:
 def tf_idf(counts: DataFrame, key: str = "id") -> DataFrame:
     """The inverted index (term, key, weight, norm, idf) of term_counts: weight (1 + ln tf) * ln((n + 1) / (df + 1)), norm that of the document's weights."""
     weighed = counts.join(idf(counts).select("term", "idf"), "term").select("term", key, ((1 + F.log("tf")) * F.col("idf")).alias("weight"), "idf")
-    norms = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    return weighed.join(norms, key).select("term", key, "weight", "norm", "idf")
+    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(key)))  # the rows move once, and stay with their document
+    return weighed.select("term", key, "weight", norm.alias("norm"), "idf")
 
 
 def tf_idf_of(counts: DataFrame, query: str, key: str = "id") -> DataFrame:

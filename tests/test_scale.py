@@ -246,3 +246,15 @@ def test_contains_deals_a_large_group_over_tasks(spark):
     rows = [r.n for r in found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     assert len(rows) > 2 and max(rows) < n * n // 4
     assert found.filter("src = 'p0'").select("dst").distinct().count() == n - 1
+
+
+def test_index_moves_its_rows_once_to_their_documents(spark):
+    from tessera.operators import search
+
+    docs = spark.range(300).selectExpr("IF(id = 0, NULL, id) AS id", "concat('red ', repeat('blue ', CAST(id % 3 AS int)), 'word', chr(97 + CAST(id % 20 AS int)), chr(97 + CAST(id % 23 AS int))) AS text")
+    index = search.tf_idf(search.term_counts(docs, F.col("text")))
+    rows = index.collect()
+    size = {}
+    for r in rows:
+        size[r.id] = size.get(r.id, 0) + r.weight * r.weight
+    assert len(size) == 300 and all(abs(r.norm - size[r.id] ** 0.5) < 1e-9 for r in rows)
