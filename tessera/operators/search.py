@@ -39,6 +39,14 @@ def idf(counts: DataFrame) -> DataFrame:
     return counts.groupBy("term").agg(F.count("*").alias("df"), F.first("n").alias("n")).select("term", "df", F.log((F.col("n") + 1) / (F.col("df") + 1)).alias("idf"))
 
 
+def document_frequencies(docs: DataFrame, text: Column, key: str = "id") -> DataFrame:
+    """(term, df, idf) as idf(term_counts(docs, text)) has it, without counting or writing what is in each document: a document is one row with its distinct terms."""
+    terms = docs.select(key, F.array_distinct(camel_tokens(text)).alias("terms")).groupBy(key).agg(F.flatten(F.collect_list("terms")).alias("terms"))
+    df = terms.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    total = docs.select(key).distinct().agg(F.count("*").alias("n"))
+    return df.crossJoin(F.broadcast(total)).select("term", "df", F.log((F.col("n") + 1) / (F.col("df") + 1)).alias("idf"))
+
+
 def tf_idf(counts: DataFrame, key: str = "id") -> DataFrame:
     """The inverted index (term, key, weight, norm, idf) of term_counts: weight (1 + ln tf) * ln((n + 1) / (df + 1)), norm that of the document's weights."""
     weighed = counts.join(idf(counts).select("term", "idf"), "term").select("term", key, ((1 + F.log("tf")) * F.col("idf")).alias("weight"), "idf")

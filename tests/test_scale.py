@@ -258,3 +258,15 @@ def test_index_moves_its_rows_once_to_their_documents(spark):
     for r in rows:
         size[r.id] = size.get(r.id, 0) + r.weight * r.weight
     assert len(size) == 300 and all(abs(r.norm - size[r.id] ** 0.5) < 1e-9 for r in rows)
+
+
+def test_document_frequencies_equal_counting_terms(spark):
+    """Repeated ids are one document, a null id is one too; nothing is written for it."""
+    from tessera import runtime
+    from tessera.operators import search
+
+    docs = spark.createDataFrame([(1, "getUser user red"), (1, "red blue"), (2, "blue"), (None, "user"), (None, "user zed"), (3, None), (4, "")], "id long, text string")
+    key = lambda df: sorted((r.term, r.df, round(r.idf, 9)) for r in df.collect())
+    want = key(search.idf(search.term_counts(docs, F.col("text"))))
+    runtime.release(spark)
+    assert key(search.document_frequencies(docs, F.col("text"))) == want and runtime.release(spark) == 0
