@@ -270,3 +270,15 @@ def test_document_frequencies_equal_counting_terms(spark):
     want = key(search.idf(search.term_counts(docs, F.col("text"))))
     runtime.release(spark)
     assert key(search.document_frequencies(docs, F.col("text"))) == want and runtime.release(spark) == 0
+
+
+def test_extraction_hands_on_frames_of_bounded_size():
+    import pandas as pd
+
+    from tessera.operators import extract
+
+    text = ("word " * 200 + chr(10)) * 300
+    files = pd.DataFrame({"path": [f"d/{i}.txt" for i in range(60)] + ["d/null.txt"], "language": "plaintext", "content": [text.encode()] * 60 + [None]})
+    frames = list(extract._frames(iter([files, files[:0]])))
+    assert max(f.raw_text.str.len().sum() for f in frames) < extract.PIECE + 2 * len(text)
+    assert [p for f in frames for p in f.file_path] == list(files.path[:60])
